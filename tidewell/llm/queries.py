@@ -9,6 +9,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_budgeted_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from their budgeted windows."""
+    from pyspark.sql import functions as F
+
+    from .chat import digests, windows
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), role, F.lit("</s>[INST] ok [/INST]"))
+    return digests(windows(turns.union(extra)))
+
+
 def op2_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as sorted-string-table shards and read back."""
     from .sst import encode_and_read_back
@@ -39,6 +51,20 @@ def op5_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_improbable_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Improbable-feature digests of all documents and of their edited texts."""
+    from .fingerprint import with_next
+
+    return with_next(_docs(spark, sf_dir))
+
+
+def op7_edit_join_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every line of the documents."""
+    from .lines import classes
+
+    return classes(_docs(spark, sf_dir))
+
+
 def op8_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     from pyspark.sql import functions as F
@@ -49,14 +75,33 @@ def op8_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", is_held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document."""
+    from .lm import score
+
+    return score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from .wrappers import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_budgeted_chat,
         op2_sstable_tokens,
         op3_probminhash_dedup,
         op4_pivotal_mixing,
         op5_qgram_decontamination,
+        op6_improbable_fingerprints,
+        op7_edit_join_lines,
         op8_bigru_toxicity,
+        op9_cross_entropy_difference,
+        op10_wrapper_main_text,
     )
 }
 #: None of these can be written in SQL; their tests compare them with brute force, round trips or held-out labels.
