@@ -53,15 +53,16 @@ def keys(length: Column, line: Column, tau: int = TAU) -> Column:
 def edits(a: Column, b: Column, tau: int = TAU) -> Column:
     """Edit distance of two strings if it is at most tau, else null."""
     band = 2 * tau + 1
-    pa, tb = F.split(a, ""), F.split(b, "")
+    m, n = F.length(a), F.length(b)
+    pad = F.array_repeat(F.lit(""), 2 * tau)
+    padded = F.concat(F.array_repeat(F.lit(""), tau), F.filter(F.split(a, ""), lambda c: c != ""), pad)
+    near = [F.slice(padded, F.lit(d + 1), n).alias(f"p{d}") for d in range(band)]
+    # bit d of a text character: it equals the character of the other string on diagonal d - tau
+    columns = F.arrays_zip(F.filter(F.split(b, ""), lambda c: c != "").alias("c"), *near)
+    match = F.transform(columns, lambda x: sum((F.when(x[f"p{d}"] == x["c"], 1 << d).otherwise(0) for d in range(1, band)), F.when(x["p0"] == x["c"], 1).otherwise(0)))
     start = F.struct(*(F.lit(sum(1 << (tau + k) for k in range(e + 1))).alias(f"r{e}") for e in range(tau + 1)))
 
-    def step(acc: Column, j: Column) -> Column:
-        ch = F.get(tb, j - 1)
-        match = None
-        for d in range(band):
-            bit = F.when(F.get(pa, j + (d - tau - 1)) == ch, 1 << d).otherwise(0)
-            match = bit if match is None else match.bitwiseOR(bit)
+    def step(acc: Column, match: Column) -> Column:
         new = []
         for e in range(tau + 1):
             r = acc[f"r{e}"].bitwiseAND(match)
@@ -71,13 +72,13 @@ def edits(a: Column, b: Column, tau: int = TAU) -> Column:
             new.append(r)
         return F.struct(*(r.alias(f"r{e}") for e, r in enumerate(new)))
 
-    m, n = F.length(a), F.length(b)
-    final = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), start, step)
-    bit = F.shiftleft(F.lit(1), (tau + m - n).cast("int"))
-    out = F.lit(None).cast("int")
-    for e in range(tau, -1, -1):
-        out = F.when(final[f"r{e}"].bitwiseAND(bit) != 0, e).otherwise(out)
-    return F.when(F.abs(m - n) <= tau, out)
+    def finish(acc: Column) -> Column:
+        bit, out = F.get(F.array(*(F.lit(1 << d) for d in range(band))), tau + m - n), F.lit(None).cast("int")
+        for e in range(tau, -1, -1):
+            out = F.when(acc[f"r{e}"].bitwiseAND(bit) != 0, e).otherwise(out)
+        return out
+
+    return F.when(F.abs(m - n) <= tau, F.aggregate(match, start, step, finish))
 
 
 def links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, max_broadcast: int = 200_000) -> DataFrame:
@@ -96,7 +97,8 @@ def links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, max_broad
     few = nodes.count() <= max_broadcast
     texts = materialize(long.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")), "texts")
     ta, tb = (texts.select(F.col("node").alias(c), F.col("line").alias(f"t{c}")) for c in "ab")
-    return pairs.join(ta, "a").join(tb, "b").withColumn("edits", edits(F.col("ta"), F.col("tb"), tau)).where("edits IS NOT NULL").select("a", "b", "edits")
+    measured = pairs.join(ta, "a").join(tb, "b").select("a", "b", edits(F.col("ta"), F.col("tb"), tau).alias("edits"))
+    return materialize(measured, "measured").where("edits IS NOT NULL")
 
 
 def classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -105,7 +107,7 @@ def classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> Data
     first_doc and first_line are where its class occurs first (null for blank lines); n_links counts the different
     lines within tau edits of it.
     """
-    found = materialize(links(docs, tau, min_chars), "links")
+    found = links(docs, tau, min_chars)
     labels = components(found)
     degree = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     about = materialize(labels.join(degree, "node"), "about")
