@@ -8,8 +8,9 @@ verified exactly: a link needs a probability Jaccard, or a plain Jaccard, of `TH
 connected components of links.
 
 Equal texts are one node. In a band's bucket each text is compared with a few centres (cost linear in the bucket),
-and then only with the texts that are still in other classes, so a large group of copies is never expanded into all
-its pairs, while no link between classes is lost.
+and then only with the texts that are still in other classes and that it can be similar to: a shingle that one text
+alone has is in no intersection, which bounds a text's similarities from its own counts. So a large group of copies is
+never expanded into all its pairs, while no link between classes is lost.
 
 Texts of one to four words are one shingle; texts without words are near-duplicates only when equal. Null text is
 an empty text. A null doc_id is a row of its own class. Repeated rows share their class.
@@ -88,19 +89,6 @@ def band_hashes(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h.view(np.int64), element.reshape(len(texts), M).astype(np.uint32), regs[:, 0] != _EMPTY
 
 
-def similarities(a: list, b: list) -> np.ndarray:
-    """The greater of exact probability Jaccard and plain Jaccard, for each pair of texts."""
-    out = np.zeros(len(a))
-    texts = list(dict.fromkeys([*a, *b]))
-    at = {t: i for i, t in enumerate(texts)}
-    doc, s, w = shingles(texts)
-    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-    for k, (x, y) in enumerate(zip(a, b)):
-        i, j = at[x], at[y]
-        out[k] = _similar(s[bounds[i] : bounds[i + 1]], w[bounds[i] : bounds[i + 1]], s[bounds[j] : bounds[j + 1]], w[bounds[j] : bounds[j + 1]])
-    return out
-
-
 def _similar(s1, w1, s2, w2) -> float:
     if not len(s1) or not len(s2):
         return float(len(s1) == len(s2))
@@ -143,24 +131,67 @@ def _estimate(a: list, b: list) -> np.ndarray:
     return np.array([np.count_nonzero(np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4")) / M for x, y in zip(a, b)])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
-    wide = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def _shingled(texts: DataFrame) -> DataFrame:
+    """(rep, s, w): a text's distinct shingles, sorted, as packed 64-bit hashes, and their packed 32-bit counts."""
 
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                p = batch.slice(lo, 512)
-                ok = similarities(p.column(2).to_pylist(), p.column(3).to_pylist()) >= THRESHOLD
-                yield pa.RecordBatch.from_arrays([p.column(0).filter(pa.array(ok)), p.column(1).filter(pa.array(ok))], ["a", "b"])
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for lo, hi in pieces_by_bytes(texts, 2_000_000):
+                doc, s, w = shingles(texts[lo:hi])
+                cut = np.searchsorted(doc, np.arange(hi - lo + 1))
+                packed = [[x[i:j].astype(kind).tobytes() for i, j in zip(cut, cut[1:])] for x, kind in ((s, "<u8"), (w, "<u4"))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(x, pa.binary()) for x in packed)], ["rep", "s", "w"])
+
+    return texts.mapInArrow(run, "rep long, s binary, w binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingles are similar enough."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("s").alias(f"s{side}"), F.col("w").alias(f"w{side}")), side)
+
+    def run(batches):
+        for p in batches:
+            packed = zip(*([np.frombuffer(x.as_buffer(), kind) for x in p.column(k)] for k, kind in ((2, "<u8"), (3, "<u4"), (4, "<u8"), (5, "<u4"))))
+            ok = pa.array([_similar(*x) >= THRESHOLD for x in packed], pa.bool_())
+            yield pa.RecordBatch.from_arrays([p.column(0).filter(ok), p.column(1).filter(ok)], ["a", "b"])
 
-    return wide.mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(run, "a long, b long")
 
 
 def _apart(column: str, salt: int) -> Column:
     return F.struct(F.xxhash64(F.col(column), F.lit(salt)).alias("_h"), F.col(column).alias("_id"))
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows (key, rep, label, ...) of the buckets that hold more than one class."""
+    found = rows.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("key")
+    return rows.join(found, "key")
+
+
+def _bounds(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, n, u, mass, own, many): shingles of a text, those that no other text in the buckets has, the same by count.
+
+    A shingle that one text alone has is shared with none, so n - u and mass - own bound every intersection.
+    """
+
+    def spread(batches):
+        for b in batches:
+            for rep, s, w in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                h, c = np.frombuffer(s.as_buffer(), "<i8"), np.frombuffer(w.as_buffer(), "<u4")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), rep, np.int64)), pa.array(h), pa.array(c.astype(np.int64))], ["rep", "h", "c"])
+
+    each = sets.join(rest.select("rep").distinct(), "rep", "left_semi").mapInArrow(spread, "rep long, h long, c long")
+    one = each.groupBy("h").agg(F.count("*").alias("df"), F.min("rep").alias("rep"), F.min("c").alias("c")).where("df = 1").groupBy("rep").agg(F.count("*").alias("u"), F.sum("c").alias("own"))
+    all_ = each.groupBy("rep").agg(F.count("*").alias("n"), F.sum("c").alias("mass"))
+    return all_.join(one, "rep", "left").select("rep", "n", F.coalesce("u", F.lit(0)).alias("u"), "mass", F.coalesce("own", F.lit(0)).alias("own"), (F.col("mass") > F.col("n")).alias("many"))
+
+
+def _may_link(n: str, u: str, mass: str, own: str) -> Column:
+    return (F.col(n) - F.col(u) >= THRESHOLD * F.col(n)) | (F.col(mass) - F.col(own) >= THRESHOLD * F.col(mass))
+
+
 def classes(docs: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
     """(doc_id, class_id, exact_id): class_id is the least doc_id of its class, exact_id of its equal texts."""
     sig = materialize(_signatures(docs), "signatures")
@@ -177,15 +208,17 @@ def classes(docs: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
     few = part.count() <= max_broadcast
     regs = materialize(reps.join(part, "rep").select("rep", "regs"), "regs")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text")).join(F.broadcast(part) if few else part, "rep", "left_semi")
-    texts = materialize(texts, "texts")
+    texts = materialize(_shingled(texts), "texts")
     links = materialize(_verified(stars, texts), "links")
     labels = components(links)
     # what stars left apart: pairs of a bucket in different classes, unless their registers are far too different
     now = buckets.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = now.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("key")
-    rest = materialize(now.join(mixed, "key"), "rest")
-    x, y = (rest.select("key", F.col("rep").alias(r), F.col("label").alias(f"l{r}")) for r in "ab")
-    pairs = x.join(y, "key").where("a < b AND la <> lb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    rest = materialize(_mixed(now), "rest")
+    rest = materialize(_mixed(rest.join(_bounds(rest, texts).where(_may_link("n", "u", "mass", "own")), "rep")), "rest")
+    x, y = (rest.select("key", F.col("rep").alias(r), F.col("label").alias(f"l{r}"), *(F.col(c).alias(f"{c}_{r}") for c in ("n", "u", "many"))) for r in "ab")
+    shared = F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b"))
+    close = (shared >= THRESHOLD * (F.col("n_a") + F.col("n_b") - shared)) | F.col("many_a") | F.col("many_b")
+    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & close).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     wide = pairs.join(regs.select(F.col("rep").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("rep").alias("b"), F.col("regs").alias("rb")), "b").select("a", "b", "ra", "rb")
     least = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / M) ** 0.5
 
@@ -205,7 +238,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each class one row with its least doc_id stays; rows without doc_id stay."""
     found = classes(docs)
     kept = materialize(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("_n")), "kept")
-    out = docs.join(kept.where("_n = 1").select("doc_id"), "doc_id", "left_semi")
+    # merged at any size: a text is dealt out once, and the kept ids are never assumed to be few
+    out = docs.join(kept.where("_n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     again = kept.where("_n > 1").select("doc_id")
     if not again.isEmpty():  # repeated ids: one of their rows
         out = out.union(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -274,12 +274,8 @@ def is_held_out():
 def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     """Train on a bounded sample of labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    rows = (
-        docs.select("doc_id", text_or_empty().alias("_text"))
-        .where(~is_held_out() & (F.length("_text") <= MAX_TRAIN_CHARS))
-        .join(known, "doc_id")
-        .withColumn("_order", F.xxhash64("doc_id", "_text"))
-    )
+    # texts are only measured and hashed here; those of the chosen rows are read afterwards
+    rows = docs.where(~is_held_out() & (F.length(text_or_empty()) <= MAX_TRAIN_CHARS)).select("doc_id", F.xxhash64("doc_id", text_or_empty()).alias("_order")).join(known, "doc_id")
     got = []
     for toxic, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
         some = rows.where(F.col("_toxic") == toxic)
