@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import arrays, stats, text
-from tidewell.operators import bloom, graphs, kv, metrics, sequences, trees
+from tidewell.operators import bloom, graphs, grids, kv, metrics, sequences, trees
 from tidewell.plans.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -722,6 +722,26 @@ def mst_weight_check(spark, d):
     return graphs.verify_spanning_tree(e, graphs.minimum_spanning_forest(e)).select("is_tree", "ok")
 
 
+# A grid: line numbers by supplier, occupied where any quantity is above 45.
+
+_GRID = "g AS (SELECT l_linenumber::INT AS row, l_suppkey AS col, (max(l_quantity) > 45)::INT AS v FROM lineitem GROUP BY ALL)"
+
+
+def _grid(spark, d) -> DataFrame:
+    rows = _t(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("row"), F.col("l_suppkey").alias("col"))
+    return rows.agg((F.max("l_quantity") > 45).cast("int").alias("v"))
+
+
+@query(f"WITH {_GRID} SELECT col, min(row) FILTER (v <> 0) AS top, max(row) FILTER (v <> 0) AS base FROM g GROUP BY 1")
+def grid_profile(spark, d):
+    return grids.profile(_grid(spark, d))
+
+
+@query(f"WITH {_GRID} SELECT row, col FROM g WHERE v <> 0 ORDER BY row, col LIMIT 1")
+def grid_tip(spark, d):
+    return grids.tip(_grid(spark, d))
+
+
 # Streams: the same reducers over a file stream of the events.
 
 
