@@ -75,7 +75,8 @@ class Models:
 def fit(docs: DataFrame, labels: DataFrame) -> Models:
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_g")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.join(good, F.col("doc_id") == F.col("_g"), "left").select("text", (F.col("_g").isNotNull() & ~is_held_out()).alias("target"))
+    # merged at any size: texts are dealt out once, and the labelled ids are never assumed to be few
+    rows = rows.join(good.hint("merge"), F.col("doc_id") == F.col("_g"), "left").select("text", (F.col("_g").isNotNull() & ~is_held_out()).alias("target"))
 
     def run(batches):
         for b in batches:
