@@ -3,8 +3,8 @@
 Distinct lines of `MIN_CHARS` or more are joined at edit distance `TAU`. A line is cut into TAU + 1 segments; a line
 within TAU edits of it holds one of them unchanged, at a place that the segment's number and the lengths' difference
 bound (multi-match-aware selection). So every line indexes its segments by (length, number, text) and probes, for each
-length up to TAU shorter, the few substrings that could be a segment there. Lines that meet under a key are verified
-by a bit-parallel edit distance: TAU + 1 registers hold, for a band of 2 TAU + 1 diagonals, the cells within 0..TAU
+length up to TAU shorter, the few substrings that could be a segment there. Of lines that meet under a key, those of
+which all but TAU of eight blocks recur near their place are verified by a bit-parallel edit distance: TAU + 1 registers hold, for a band of 2 TAU + 1 diagonals, the cells within 0..TAU
 edits, and one pass over the text updates them with shifts and masks. Classes are connected components of the links.
 
 Copies of a line are one node, aggregated before the join. Shorter lines are duplicates only when equal; blank lines
@@ -31,6 +31,10 @@ def _node(line: Column) -> Column:
     return F.unhex(F.md5(line.cast("binary")))
 
 
+def _id(node: Column) -> Column:
+    return F.shiftright(F.xxhash64(node), 1)
+
+
 def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
     """Start (zero-based) and length of segment i of a line of that length: even, the longer ones last."""
     base, rest = F.floor(length / (tau + 1)), length % (tau + 1)
@@ -81,23 +85,38 @@ def edits(a: Column, b: Column, tau: int = TAU) -> Column:
     return F.when(F.abs(m - n) <= tau, F.aggregate(match, start, step, finish))
 
 
+def plausible(a: Column, b: Column, tau: int = TAU, blocks: int = 8) -> Column:
+    """A cheap condition that strings within tau edits meet: all but tau of a's blocks are in b within tau places."""
+    q = F.floor(F.length(a) / blocks).cast("int")
+    found = None
+    for i in range(blocks):
+        window = F.substr(b, F.greatest(F.lit(1), q * i + 1 - tau), q + 2 * tau)
+        here = F.when(F.position(F.substr(a, q * i + 1, q), window) > 0, 1).otherwise(0)
+        found = here if found is None else found + here
+    return found >= blocks - tau
+
+
 def links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, max_broadcast: int = 200_000) -> DataFrame:
     """(a, b, edits): distinct lines (MD5 of each) within tau edits, a < b."""
     long = lines_of(docs).where(F.length("line") >= min_chars).select("line", _node(F.col("line")).alias("node"))
-    distinct = long.groupBy("node").agg(F.first("line").alias("line"))
-    each = distinct.select("node", F.xxhash64("node").alias("id"), F.explode(keys(F.length("line"), F.col("line"), tau)).alias("k")).select("node", "id", "k.key", "k.own")
+    distinct = long.groupBy("node").agg(F.first("line").alias("line")).select(_id(F.col("node")).alias("id"), F.explode(keys(F.length("line"), F.col("line"), tau)).alias("k"))
+    # two numbers a row: the key, and the line's id with, in the last bit, whether it indexes the key
+    each = distinct.select("k.key", F.shiftleft("id", 1).bitwiseOR(F.col("k.own").cast("bigint")).alias("v"))
     # keys that one line alone has are dropped in the pass that brings a key's rows together
-    by = Window.partitionBy("key")
-    met = each.withColumn("_lo", F.min("id").over(by)).withColumn("_hi", F.max("id").over(by)).withColumn("_own", F.max("own").over(by)).where("_lo <> _hi AND _own")
-    met = materialize(met.select("key", "node", "own"), "met")
-    x = met.where("own").select("key", F.col("node").alias("x"))
-    y = met.select("key", F.col("node").alias("y"))
+    by, id_ = Window.partitionBy("key"), F.shiftright("v", 1)
+    met = each.withColumn("_lo", F.min(id_).over(by)).withColumn("_hi", F.max(id_).over(by)).withColumn("_own", F.max(F.col("v").bitwiseAND(1)).over(by)).where("_lo <> _hi AND _own = 1")
+    met = materialize(met.select("key", id_.alias("id"), (F.col("v").bitwiseAND(1) == 1).alias("own")), "met")
+    x = met.where("own").select("key", F.col("id").alias("x"))
+    y = met.select("key", F.col("id").alias("y"))
     pairs = materialize(x.join(y, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
-    few = nodes.count() <= max_broadcast
-    texts = materialize(long.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")), "texts")
-    ta, tb = (texts.select(F.col("node").alias(c), F.col("line").alias(f"t{c}")) for c in "ab")
-    measured = pairs.join(ta, "a").join(tb, "b").select("a", "b", edits(F.col("ta"), F.col("tb"), tau).alias("edits"))
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    few = ids.count() <= max_broadcast
+    # lines whose ids collide are all verified, so ids decide nothing
+    texts = long.withColumn("id", _id(F.col("node"))).join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id", "node").agg(F.first("line").alias("line"))
+    texts = materialize(texts, "texts")
+    ta, tb = (texts.select(F.col("id").alias(c), F.col("node").alias(f"n{c}"), F.col("line").alias(f"t{c}")) for c in "ab")
+    near = pairs.join(ta, "a").join(tb, "b").where(plausible(F.col("ta"), F.col("tb"), tau))
+    measured = near.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), edits(F.col("ta"), F.col("tb"), tau).alias("edits"))
     return materialize(measured, "measured").where("edits IS NOT NULL")
 
 
