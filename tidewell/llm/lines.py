@@ -3,8 +3,9 @@
 Distinct lines of `MIN_CHARS` or more are joined at edit distance `TAU`. A line is cut into TAU + 1 segments; a line
 within TAU edits of it holds one of them unchanged, at a place that the segment's number and the lengths' difference
 bound (multi-match-aware selection). So every line indexes its segments by (length, number, text) and probes, for each
-length up to TAU shorter, the few substrings that could be a segment there. Of lines that meet under a key, those of
-which all but TAU of eight blocks recur near their place are verified by a bit-parallel edit distance: TAU + 1 registers hold, for a band of 2 TAU + 1 diagonals, the cells within 0..TAU
+length up to TAU shorter, the few substrings that could be a segment there. Lines that meet under a key are
+paired if their letter counts differ by no more than TAU edits can, and if all but TAU of eight blocks recur near their
+place; these are verified by a bit-parallel edit distance: TAU + 1 registers hold, for a band of 2 TAU + 1 diagonals, the cells within 0..TAU
 edits, and one pass over the text updates them with shifts and masks. Classes are connected components of the links.
 
 Copies of a line are one node, aggregated before the join. Shorter lines are duplicates only when equal; blank lines
@@ -20,6 +21,8 @@ from ._common import materialize, text_or_empty
 from .components import components
 
 TAU, MIN_CHARS = 2, 24
+#: Letters whose counts tell lines apart.
+LETTERS = "etaoinshrdlucmp"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -96,6 +99,12 @@ def plausible(a: Column, b: Column, tau: int = TAU, blocks: int = 8) -> Column:
     return found >= blocks - tau
 
 
+def letters(line: Column) -> list[Column]:
+    """How often the line has each of LETTERS, and how many other characters."""
+    n = [F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS]
+    return [x.alias(f"c{k}") for k, x in enumerate([*n, F.length(line) - sum(n[1:], n[0])])]
+
+
 def links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, max_broadcast: int = 200_000) -> DataFrame:
     """(a, b, edits): distinct lines (MD5 of each) within tau edits, a < b."""
     long = lines_of(docs).where(F.length("line") >= min_chars).select("line", _node(F.col("line")).alias("node"))
@@ -106,14 +115,19 @@ def links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, max_broad
     by, id_ = Window.partitionBy("key"), F.shiftright("v", 1)
     met = each.withColumn("_lo", F.min(id_).over(by)).withColumn("_hi", F.max(id_).over(by)).withColumn("_own", F.max(F.col("v").bitwiseAND(1)).over(by)).where("_lo <> _hi AND _own = 1")
     met = materialize(met.select("key", id_.alias("id"), (F.col("v").bitwiseAND(1) == 1).alias("own")), "met")
-    x = met.where("own").select("key", F.col("id").alias("x"))
-    y = met.select("key", F.col("id").alias("y"))
-    pairs = materialize(x.join(y, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    ids = materialize(met.select("id").distinct(), "ids")
     few = ids.count() <= max_broadcast
     # lines whose ids collide are all verified, so ids decide nothing
     texts = long.withColumn("id", _id(F.col("node"))).join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id", "node").agg(F.first("line").alias("line"))
-    texts = materialize(texts, "texts")
+    texts = materialize(texts.select("id", "node", "line", *letters(F.col("line"))), "texts")
+    # an edit changes two counts by one at most, so lines that share a segment and little else are not paired
+    counts = [f"c{k}" for k in range(len(LETTERS) + 1)]
+    met = met.join(texts.select("id", *counts), "id")
+    x = met.where("own").select("key", F.col("id").alias("x"), *(F.col(c).alias(f"x{c}") for c in counts))
+    y = met.select("key", F.col("id").alias("y"), *(F.col(c).alias(f"y{c}") for c in counts))
+    apart = sum((F.abs(F.col(f"x{c}") - F.col(f"y{c}")) for c in counts), F.lit(0))
+    close = x.join(y, (x["key"] == y["key"]) & (F.col("x") != F.col("y")) & (apart <= 2 * tau))
+    pairs = materialize(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     ta, tb = (texts.select(F.col("id").alias(c), F.col("node").alias(f"n{c}"), F.col("line").alias(f"t{c}")) for c in "ab")
     near = pairs.join(ta, "a").join(tb, "b").where(plausible(F.col("ta"), F.col("tb"), tau))
     measured = near.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), edits(F.col("ta"), F.col("tb"), tau).alias("edits"))
