@@ -88,7 +88,7 @@ def rounded(units: DataFrame) -> DataFrame:
         many = units.groupBy("source").agg(F.count("*").alias("_k"))
         groups = F.greatest(F.lit(1), F.ceil(F.col("_k") / FAN))
         sized = many.select(F.col("source").alias("_src"), groups.alias("_g"))
-        dealt = units.join(F.broadcast(sized) if level else sized, F.col("source").eqNullSafe(F.col("_src")))
+        dealt = units.join(sized, F.col("source").eqNullSafe(F.col("_src")))
         dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("key", "n", F.lit(level)), F.col("_g")))
         item = F.struct(F.xxhash64("key", "n", F.lit(-1 - level)).alias("o"), "key", "n", "s", "f")
         folded = dealt.groupBy("source", "_b").agg(F.sort_array(F.collect_list(item)).alias("_items"), F.max("_g").alias("_g")).select("source", "_g", _fold(F.col("_items")).alias("_x"))
