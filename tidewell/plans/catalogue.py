@@ -622,6 +622,47 @@ def bst_flatten(spark, d):
     return a.join(b, "tree")
 
 
+# The same over all events of a user. The SQL of the queries above is fixed and ends at 30 events, and so do they.
+
+_ALL_NODES = _NODES.replace(" WHERE i <= 30", "")
+
+
+def _all_insertions(spark, d) -> DataFrame:
+    return _t(spark, d, "events").select(F.col("user_id").alias("tree"), F.col("event_id").alias("seq"), "value")
+
+
+@query(f"WITH {_ALL_NODES} SELECT tree, seq, value, depth, parent_seq FROM s")
+def bst_all_shape(spark, d):
+    return trees.shape(_all_insertions(spark, d)).select("tree", "seq", "value", "depth", "parent_seq")
+
+
+@query(f"WITH {_ALL_NODES} SELECT tree, count(*) AS size, max(depth) AS height, round(sum(value), 6) AS total, min(value) AS least, max(value) AS greatest FROM s GROUP BY 1")
+def bst_all_height(spark, d):
+    return trees.summary(trees.shape(_all_insertions(spark, d))).select("tree", "size", "height", F.round("total", 6).alias("total"), "least", "greatest")
+
+
+@query(f"WITH {_ALL_NODES}, w AS (SELECT tree, depth, count(*) AS n FROM s GROUP BY ALL) SELECT tree, max(n) AS width FROM w GROUP BY 1")
+def bst_all_width(spark, d):
+    return trees.summary(trees.shape(_all_insertions(spark, d))).select("tree", "width")
+
+
+@query(f"WITH {_ALL_NODES} SELECT tree, seq, pre, ino FROM s")
+def bst_all_preorder(spark, d):
+    return trees.shape(_all_insertions(spark, d)).select("tree", "seq", "pre", F.col("ino").cast("bigint").alias("ino"))
+
+
+@query(f"WITH {_ALL_NODES} SELECT tree, seq, post FROM s")
+def bst_all_postorder(spark, d):
+    return trees.shape(_all_insertions(spark, d)).select("tree", "seq", "post")
+
+
+@query(f"WITH {_ALL_NODES} SELECT tree, string_agg(seq::VARCHAR, ',' ORDER BY pre) AS flat_pre, string_agg(seq::VARCHAR, ',' ORDER BY post) AS flat_post FROM s GROUP BY 1")
+def bst_all_flatten(spark, d):
+    s = trees.shape(_all_insertions(spark, d)).select("tree", F.col("seq").cast("string").alias("value"), "pre", "post")
+    a, b = (trees.flatten(s, o).select("tree", F.array_join("values", ",").alias(f"flat_{o}")) for o in ("pre", "post"))
+    return a.join(b, "tree")
+
+
 _HEAP = (
     "h AS (SELECT user_id AS tree, event_id AS seq, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),"
     " t AS (SELECT tree, seq, value, i, nullif(i // 2, 0) AS parent, floor(log2(i) + 1e-9)::BIGINT + 1 AS depth FROM h)"
