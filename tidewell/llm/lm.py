@@ -2,14 +2,17 @@
 
 Two word bigram models are counted: the target model over the documents labelled of good quality (those whose
 crc32(doc_id) mod 5 is not 0), the background model over all documents. They match: the same order, the same
-smoothing, one shared hashed vocabulary (`UNI` word buckets, `BI` bigram buckets), and background counts scaled to the
-target's total, so that neither is smoothed more. A document's score is its mean loss per token under the target less
-that under the background; the lower, the more it is like the target.
+smoothing (`UNI` words are assumed where none was seen), and background counts scaled to the target's total, so that
+neither is smoothed more. A document's score is its mean loss per token under the target less that under the
+background; the lower, the more it is like the target.
 
     p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU),    p(w) = (c(w) + 1/2) / (N + UNI / 2)
 
-Every task counts all its words; the counts are shuffled and summed, and the sums, whose number the bucket parameters
-bound, are broadcast. A text starts after a boundary word; null, empty and wordless texts have 0 tokens and losses 0.
+Words and bigrams are counted by 64-bit hashes in tables that grow with the corpus. A bigram's losses are joined to the
+bigrams of each text; those of the bigrams that make up more than 1 / `HEAVY` of all (fewer than `HEAVY`) are broadcast,
+so no key of that join has more than this share of the rows.
+
+A text starts after a boundary word; null, empty and wordless texts have 0 tokens and losses 0.
 Without target documents both models are the background. Repeated rows count as often as they occur; where a doc_id
 has several labels the best holds. Extra columns are ignored.
 """
@@ -21,58 +24,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hash_words, mix64, pieces_by_bytes, text_or_empty, word_codes
+from ._common import hash_words, materialize, mix64, pieces_by_bytes, text_or_empty, word_codes
 from .toxicity import is_held_out
 
-UNI, BI, MU = 1 << 18, 1 << 21, 20.0
+UNI, MU, HEAVY, FEW_WORDS = 1 << 18, 20.0, 1 << 17, 200_000
+_TURN = 23
+
 
+def events(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every word of the texts: hash of the word before it (0 at a start), hash of the bigram; words per text.
 
-def events(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every word of the texts: buckets of the word before it, of the word, of the bigram; words per text."""
+    The bigram's hash is the word's xor the turned hash of the word before, so the word's can be told from both.
+    """
     codes, counts, words = word_codes(texts)
     h = mix64(hash_words(words) + np.uint64(3))[codes] if words else np.zeros(0, np.uint64)
     before = np.zeros_like(h)
     before[1:] = h[:-1]
     starts = (np.cumsum(counts) - counts)[counts > 0]
     before[starts] = 0
-    pair = mix64(before * np.uint64(0x9E3779B97F4A7C15) + h)
-    return (before % np.uint64(UNI)).astype(np.int64), (h % np.uint64(UNI)).astype(np.int64), (pair % np.uint64(BI)).astype(np.int64), counts
-
-
-def count(texts: list, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets (words, then contexts, then bigrams) that occur, with their background and target counts."""
-    v, w, b, counts = events(texts)
-    t = np.repeat(target, counts)
-    at = np.concatenate((w, v + UNI, b + 2 * UNI))
-    slot, inv = np.unique(at, return_inverse=True)
-    return slot, np.bincount(inv, minlength=len(slot)), np.bincount(inv, np.tile(t, 3), len(slot)).astype(np.int64)
-
-
-class Models:
-    """Both models' counts by bucket."""
-
-    def __init__(self, slot: np.ndarray, background: np.ndarray, target: np.ndarray):
-        all_, good = np.zeros(2 * UNI + BI, np.float64), np.zeros(2 * UNI + BI, np.float64)
-        all_[slot], good[slot] = background, target
-        n_all, n_good = all_[:UNI].sum(), good[:UNI].sum()
-        if n_good == 0:
-            good, n_good = all_, n_all
-        self.total = n_good
-        self.target = good.astype(np.float32)
-        self.background = (all_ * (n_good / n_all if n_all else 1)).astype(np.float32)
-
-    def losses(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, mean target loss, mean background loss of each text."""
-        v, w, b, counts = events(texts)
-        doc, out = np.repeat(np.arange(len(texts)), counts), []
-        for c in (self.target, self.background):
-            p1 = (c[w] + 0.5) / (self.total + UNI / 2)
-            p = (c[b + 2 * UNI] + MU * p1) / (c[v + UNI] + MU)
-            out.append(np.bincount(doc, -np.log(p.astype(np.float64)), len(texts)) / np.maximum(counts, 1))
-        return counts, out[0], out[1]
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> Models:
+    pair = h ^ (before << np.uint64(_TURN) | before >> np.uint64(64 - _TURN))
+    return before.view(np.int64), pair.view(np.int64), counts
+
+
+def count(texts: list, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams, the word before of each, and their background and target counts."""
+    v, b, counts = events(texts)
+    pair, first, inv = np.unique(b, return_index=True, return_inverse=True)
+    return pair, v[first], np.bincount(inv, minlength=len(pair)), np.bincount(inv, np.repeat(target, counts), len(pair)).astype(np.int64)
+
+
+def bigrams(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(pair, v, n, t): every bigram of docs with its background and target counts."""
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_g")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # merged at any size: texts are dealt out once, and the labelled ids are never assumed to be few
@@ -82,23 +64,82 @@ def fit(docs: DataFrame, labels: DataFrame) -> Models:
         for b in batches:
             texts, target = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi in pieces_by_bytes(texts, 8_000_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in count(texts[lo:hi], target[lo:hi])], ["slot", "n", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in count(texts[lo:hi], target[lo:hi])], ["pair", "v", "n", "t"])
 
-    sums = rows.mapInArrow(run, "slot long, n long, t long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    got = sums.toArrow()  # at most 2 UNI + BI rows
-    return Models(*(got.column(k).to_numpy() for k in range(3)))
+    seen = rows.mapInArrow(run, "pair long, v long, n long, t long")
+    return seen.groupBy("pair").agg(F.min("v").alias("v"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def losses(counted: DataFrame) -> DataFrame:
+    """(pair, n, target, background): each bigram's loss under both models. counted as from bigrams()."""
+    total = counted.agg(F.sum("n"), F.sum("t")).first()
+    n_all, n_good = total[0] or 0, total[1] or 0
+    if not n_good:
+        counted, n_good = counted.withColumn("t", F.col("n")), n_all
+    scale = n_good / n_all if n_all else 1.0
+    turned = F.shiftleft("v", _TURN).bitwiseOR(F.shiftrightunsigned("v", 64 - _TURN))
+    rows = counted.withColumn("w", F.col("pair").bitwiseXOR(turned))
+    sums = [F.sum(c).alias(c) for c in ("wn", "wt", "vn", "vt")]
+    zero = F.lit(0).cast("long")
+    as_word = rows.select(F.col("w").alias("word"), F.col("n").alias("wn"), F.col("t").alias("wt"), zero.alias("vn"), zero.alias("vt"))
+    as_context = rows.select(F.col("v").alias("word"), zero.alias("wn"), zero.alias("wt"), F.col("n").alias("vn"), F.col("t").alias("vt"))
+    words = materialize(as_word.union(as_context).groupBy("word").agg(*sums), "words")
+    side = F.broadcast if words.count() <= FEW_WORDS else lambda x: x
+    rows = rows.join(side(words.select(F.col("word").alias("w"), "wn", "wt")), "w").join(side(words.select(F.col("word").alias("v"), "vn", "vt")), "v")
+
+    def loss(n: str, wn: str, vn: str, by: float):
+        p1 = (F.col(wn) * by + 0.5) / (n_good + UNI / 2)
+        return (F.log(F.col(vn) * by + MU) - F.log(F.col(n) * by + MU * p1)).cast("float")
+
+    return rows.select("pair", "n", loss("t", "wt", "vt", 1.0).alias("target"), loss("n", "wn", "vn", scale).alias("background"))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row of docs."""
-    models = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    counted = materialize(bigrams(docs, labels), "bigrams")
+    known = materialize(losses(counted), "losses")
+    least = (counted.agg(F.sum("n")).first()[0] or 0) / HEAVY
+    top = known.where(F.col("n") > least).select("pair", "target", "background").orderBy("pair").toArrow()  # fewer than HEAVY rows
+    heavy = docs.sparkSession.sparkContext.broadcast(tuple(top.column(k).to_numpy() for k in range(3)))
 
     def run(batches):
+        from pyspark import TaskContext
+
+        pairs, target, background = heavy.value
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in pieces_by_bytes(texts, 4_000_000):
-                n, t, g = models.value.losses(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(t), pa.array(g), pa.array(t - g)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+                _, bigram, counts = events(texts[lo:hi])
+                doc = np.repeat(np.arange(hi - lo), counts)
+                at = np.minimum(np.searchsorted(pairs, bigram), max(len(pairs) - 1, 0))
+                top = pairs[at] == bigram if len(pairs) else np.zeros(len(bigram), bool)
+                sums = [np.bincount(doc[top], x[at[top]].astype(np.float64), hi - lo) if len(pairs) else np.zeros(hi - lo) for x in (target, background)]
+                # a row for each text (without a bigram), then one for each of its bigrams that is not broadcast
+                d, g, none = doc[~top], bigram[~top], hi - lo
+                order = np.lexsort((g, d))
+                d, g = d[order], g[order]
+                new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (g[1:] != g[:-1])))) if len(d) else np.zeros(0, np.int64)
+                times = np.diff(np.append(new, len(d)))
+                row_of = np.concatenate((np.arange(none), d[new])) + row
+                row += none
+                pad = pa.nulls(len(new), pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(row_of),
+                        pa.chunked_array([b.column(0).slice(lo, none), pa.nulls(len(new), pa.int64())]).combine_chunks(),
+                        pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(g[new])]),
+                        pa.array(np.concatenate((counts, times))),
+                        *(pa.concat_arrays([pa.array(x), pad]) for x in sums),
+                    ],
+                    ["row", "doc_id", "pair", "n", "target", "background"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    found = materialize(rows.mapInArrow(run, "row long, doc_id long, pair long, n long, target double, background double"), "events")
+    whole = found.where("pair is null").select("row", "doc_id", F.col("n").alias("n_tokens"), "target", "background")
+    light = known.where(F.col("n") <= least).select("pair", F.col("target").alias("a"), F.col("background").alias("b"))
+    part = found.where("pair is not null").select("row", "pair", "n").join(light, "pair").groupBy("row").agg(F.sum(F.col("n") * F.col("a").cast("double")).alias("a"), F.sum(F.col("n") * F.col("b").cast("double")).alias("b"))
+    each = [((F.col(x) + F.coalesce(y, F.lit(0.0))) / F.greatest("n_tokens", F.lit(1))) for x, y in (("target", "a"), ("background", "b"))]
+    out = whole.join(part, "row", "left").select("doc_id", "n_tokens", each[0].alias("target_loss"), each[1].alias("background_loss"))
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
