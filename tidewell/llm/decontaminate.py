@@ -2,9 +2,9 @@
 
 Texts and benchmark items are compared as lower-case letters and digits with single spaces between words. A region
 that is an item with at most k edits (k = `RATE` of its length) shares at least m - q + 1 - k q of the item's m - q + 1
-q-grams with it, all within k of one diagonal. So shared q-grams are counted in diagonal bands of width 2w that
-overlap by half (w is over any k), bands under the bound are dropped, and the rest are verified by an alignment that
-stays within the band.
+q-grams with it, all within k of one diagonal. So a text's shared q-grams are counted in diagonal bands of width 2w
+that overlap by half (w is over any k), bands under the bound are dropped, and the rest are verified by an alignment
+that stays within the band.
 
 The benchmark is a stated query set: it goes to the executors in blocks of at most `BLOCK_CHARS` characters, each
 block against all rows. Items shorter than `MIN_CHARS` once normalised match only as exact whole words; items without
@@ -118,17 +118,18 @@ class Benchmark:
             pos = np.repeat(hit, n)
             row = np.repeat(lo, n) + np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n)
             item, diag = self.item[row], pos - self.at[row]
-            # q-grams that hold the 0 after a text match nothing, so a match never spans two texts
-            cells = [np.stack((item, (diag + shift) // (2 * self.width), np.full(len(item), shift), pos)) for shift in (0, self.width)]
+            # q-grams that hold the 0 after a text match nothing, so a match never spans two texts; a band may, so texts are counted apart
+            text = np.searchsorted(ends, pos)
             todo = set()
-            for cell in cells:
-                order = np.lexsort((cell[1], cell[0]))
-                i, b, shift, p = cell[:, order]
-                new = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (b[1:] != b[:-1]))))
+            for shift in (0, self.width):
+                band = (diag + shift) // (2 * self.width)
+                order = np.lexsort((band, text, item))
+                i, d, b = item[order], text[order], band[order]
+                new = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (b[1:] != b[:-1]))))
                 # a place that matches an item twice in a band still counts twice: more is kept, never less
                 count = np.diff(np.append(new, len(i)))
                 for k in new[count >= np.maximum(self.bound[i[new]], 1)]:
-                    todo.add((int(i[k]), int(b[k]) * 2 * self.width - int(shift[k]), int(np.searchsorted(ends, p[k]))))
+                    todo.add((int(i[k]), int(b[k]) * 2 * self.width - shift, int(d[k])))
             self._verify(c, starts, ends, sorted(todo), put)
         return [(d, i, *v) for (d, i), v in sorted(found.items())]
 
