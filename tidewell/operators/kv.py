@@ -110,16 +110,25 @@ def sparse_index(rows: DataFrame, order: list[str], size: Column, every: int = 1
     return placed.where(F.col("pos") % every == 0).select(*by, *order, "pos", "offset")
 
 
-def sparse_seek(index: DataFrame, probes: DataFrame, key: str, probe: str) -> DataFrame:
+def sparse_seek(index: DataFrame, probes: DataFrame, key: str, probe: str, by: list[str] | None = None) -> DataFrame:
     """Per probe the offset of the greatest indexed key at or below it, 0 if there is none.
 
-    An as-of lookup: index and probes are sorted together by key once, and the last offset is carried forward.
+    An as-of lookup: index and probes are sorted together by key once, and the last offset is carried forward. `by`
+    names the segment columns, which both sides have: a probe sees the index of its own segment only.
     """
-    both = index.select(F.col(key).alias("_k"), F.lit(0).alias("_o"), F.col("offset"), F.lit(None).cast(probes.schema[probe].dataType).alias(probe)).unionByName(
-        probes.select(F.col(probe).alias("_k"), F.lit(1).alias("_o"), F.lit(None).cast(index.schema["offset"].dataType).alias("offset"), probe)
+    by = by or []
+    both = index.select(*by, F.col(key).alias("_k"), F.lit(0).alias("_o"), F.col("offset"), F.lit(None).cast(probes.schema[probe].dataType).alias(probe)).unionByName(
+        probes.select(*by, F.col(probe).alias("_k"), F.lit(1).alias("_o"), F.lit(None).cast(index.schema["offset"].dataType).alias("offset"), probe)
     )
-    carried = F.last("offset", ignorenulls=True).over(Window.orderBy("_k", "_o").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("offset", F.coalesce(carried, F.lit(0))).where("_o = 1").select(probe, "offset")
+    carried = F.last("offset", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_k", "_o").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("offset", F.coalesce(carried, F.lit(0))).where("_o = 1").select(probe, *by, "offset")
+
+
+def segment_seek(index: DataFrame, stats: DataFrame, probes: DataFrame, key: str, probe: str, by: list[str]) -> DataFrame:
+    """Per probe each segment whose key bounds hold it, with the offset to read from; a probe that none holds gets null and 0."""
+    held = candidate_segments(stats, probes.select(probe).distinct(), probe).select(probe, *by)
+    found = sparse_seek(index, held, key, probe, by)
+    return probes.select(probe).join(found, probe, "left").select(probe, *by, F.coalesce("offset", F.lit(0)).alias("offset"))
 
 
 def split_by_size(rows: DataFrame, order: list[str], size: Column, limit: int, by: list[str] | None = None) -> DataFrame:

@@ -164,6 +164,18 @@ def kv_sparse_seek(spark, d):
     return kv.sparse_seek(_index(spark, d).where("segment = 1"), _t(spark, d, "part").select("p_partkey"), "o_orderkey", "p_partkey")
 
 
+# kv_sparse_seek keeps to its SQL, which has segment 1 only; this one probes every segment.
+
+
+@query(
+    f'WITH {_PLACED}, b AS (SELECT segment, min(o_orderkey) AS least, max(o_orderkey) AS most FROM placed GROUP BY 1), i AS (SELECT * FROM placed WHERE pos % 100 = 0)'
+    ' SELECT p_partkey, b.segment, coalesce(max("offset") FILTER (o_orderkey <= p_partkey), 0) AS "offset" FROM part LEFT JOIN b ON p_partkey BETWEEN least AND most LEFT JOIN i ON i.segment = b.segment GROUP BY ALL'
+)
+def kv_sparse_seek_all(spark, d):
+    bounds = _t(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 4096).cast("long").alias("segment")).agg(F.min("o_orderkey").alias("min_key"), F.max("o_orderkey").alias("max_key"))
+    return kv.segment_seek(_index(spark, d), bounds, _t(spark, d, "part").select("p_partkey"), "o_orderkey", "p_partkey", ["segment"])
+
+
 @query(
     "SELECT o_custkey, o_orderkey, (coalesce(sum(strlen(o_orderpriority) + 24) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 128)::BIGINT AS file_no FROM orders"
 )
