@@ -3,9 +3,10 @@
 A document is the weighted set of its five-word shingles, weights being counts (lower-case words; punctuation
 separates). Each shingle's Poisson process has its count as rate; arrivals fall on random registers, which keep the
 earliest. A document's processes stop once their next arrival is later than every register's. Registers of two
-documents agree with their probability Jaccard similarity. `BANDS` bands of `ROWS` registers propose pairs, which are
-verified exactly: a link needs a probability Jaccard, or a plain Jaccard, of `THRESHOLD` or more. Classes are the
-connected components of links.
+documents agree with their probability Jaccard similarity. A document with a count above one has a second set of
+registers with rates of one, which agree with the plain Jaccard similarity. `BANDS` bands of `ROWS` registers of either
+set propose pairs, which are verified exactly: a link needs a probability Jaccard, or a plain Jaccard, of `THRESHOLD`
+or more. Classes are the connected components of links.
 
 Equal texts are one node. In a band's bucket each text is compared with a few centres (cost linear in the bucket),
 and then only with the texts that are still in other classes and that it can be similar to: a shingle that one text
@@ -78,15 +79,32 @@ def registers(doc: np.ndarray, s: np.ndarray, w: np.ndarray, n_docs: int) -> np.
     return regs
 
 
-def band_hashes(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(texts, BANDS) of 64-bit band hashes, the registers' elements, and which texts have words."""
-    doc, s, w = shingles(texts)
-    regs = registers(doc, s, w.astype(np.float64), len(texts))
-    element = (regs & np.uint64(0xFFFFFFFF)).reshape(len(texts), BANDS, ROWS)
-    h = np.full((len(texts), BANDS), 1, np.uint64) * np.arange(1, BANDS + 1, dtype=np.uint64)
+def _bands(element: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) of 64-bit band hashes of the registers' elements."""
+    element = element.reshape(len(element), BANDS, ROWS)
+    h = np.full((len(element), BANDS), 1, np.uint64) * np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         h = mix64(h * np.uint64(0x100000001B3) + element[:, :, k] + np.uint64(k))
-    return h.view(np.int64), element.reshape(len(texts), M).astype(np.uint32), regs[:, 0] != _EMPTY
+    return h.view(np.int64)
+
+
+def band_hashes(texts: list) -> tuple[list[list[int]], list[bytes]]:
+    """Of each text the band hashes, and the packed elements of its registers by count, then by shingle.
+
+    A text that has each shingle once has both alike and packs them once. Texts without words have no bands.
+    """
+    doc, s, w = shingles(texts)
+    regs = registers(doc, s, w.astype(np.float64), len(texts))
+    low, some = regs & np.uint64(0xFFFFFFFF), regs[:, 0] != _EMPTY
+    bands = [x if ok else [] for x, ok in zip(_bands(low).tolist(), some)]
+    packed = [x.astype("<u4").tobytes() for x in low]
+    many = np.unique(doc[w > 1])
+    at = np.flatnonzero(np.isin(doc, many))
+    unit = registers(np.searchsorted(many, doc[at]), s[at], np.ones(len(at)), len(many)) & np.uint64(0xFFFFFFFF)
+    for d, h, x in zip(many, _bands(unit).tolist(), unit):
+        bands[d] += h
+        packed[d] += x.astype("<u4").tobytes()
+    return bands, packed
 
 
 def _similar(s1, w1, s2, w2) -> float:
@@ -116,10 +134,9 @@ def _signatures(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts = b.column(3).to_pylist()
             for lo, hi in pieces_by_bytes(texts, 2_000_000):
-                bands, element, some = band_hashes(texts[lo:hi])
-                rows = [x.tolist() if ok else [] for x, ok in zip(bands, some)]
+                bands, packed = band_hashes(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(k).slice(lo, hi - lo) for k in range(3)), pa.array(rows, pa.list_(pa.int64())), pa.array([e.astype("<u4").tobytes() for e in element], pa.binary())],
+                    [*(b.column(k).slice(lo, hi - lo) for k in range(3)), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
                     ["doc_id", "h1", "h2", "bands", "regs"],
                 )
 
@@ -128,7 +145,12 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 
 def _estimate(a: list, b: list) -> np.ndarray:
-    return np.array([np.count_nonzero(np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4")) / M for x, y in zip(a, b)])
+    """The greater of the agreements of the registers by count and of those by shingle, for each pair."""
+    out = np.zeros(len(a))
+    for k, (x, y) in enumerate(zip(a, b)):
+        x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+        out[k] = max(np.count_nonzero(x[:M] == y[:M]), np.count_nonzero(x[-M:] == y[-M:])) / M
+    return out
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
