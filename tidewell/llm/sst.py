@@ -27,79 +27,124 @@ import math
 import struct
 import zlib
 from array import array
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import new_path, prefix_sums, text_or_empty
+from ._common import new_path, pieces_by_bytes, prefix_sums, text_or_empty
 
 MAGIC = b"TWSST001"
 _FOOTER = struct.Struct("<QIQIQQQ8s")  # index offset, length, filter offset, length, entries, tokens, shard
 BLOCK_BYTES = 64 * 1024
-#: Entries of a task's caches, about 200 bytes each.
-CACHE_PIECES, CACHE_WORDS = 300_000, 500_000
+#: Entries of a worker's cache, about 150 bytes each.
+CACHE_PIECES = 400_000
 
 
-class _Filled(dict):
-    """A dict that computes what it lacks, and keeps it while there is room."""
+class _Pieces(dict):
+    """Encoded pieces; those that had no room are in `rest` until the next batch."""
 
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
+    rest: dict
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(self) < self.most:
-            self[key] = value
-        return value
+        return self.rest[key]
 
 
 class Encoder:
-    """Whole-text encoding with the tokenizers library, with caches of pieces and words.
+    """Whole-text encoding with the tokenizers library, with a cache of pieces.
 
     The byte-level pre-tokeniser never lets a token cross a single space that follows another character, so a text
-    without double spaces is cut before each space and its pieces are encoded apart. A piece of Latin letters is cut
-    further by the pre-tokeniser's pattern, and each word goes through the library's model once while the cache has
-    room; all else goes through the library's encode. Strings of special tokens in a text are ordinary text.
+    without double spaces is cut before each space and its pieces are encoded apart. Pieces that the cache lacks go through
+    the library's model if they are Latin letters (perhaps with a mark after them); others are encoded together, in one
+    call for many texts, where a token that starts with the space's sign starts a piece. Strings of special tokens in a
+    text are ordinary text.
     """
 
     def __init__(self, name: str):
         import os
-        import re
 
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.latin = re.compile("[!-~\u00a1-\u024f\n ]*").fullmatch
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
+        vocab = self.tokenizer.get_vocab(True)
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-        shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
-        self.shown = str.maketrans({chr(b): c for b, c in shown.items()})
-        self.words = _Filled(self._word, CACHE_WORDS)
-        self.pieces = _Filled(lambda p: self._text(" " + p), CACHE_PIECES)
-
-    def _word(self, word: str) -> bytes:
-        text = word.encode().decode("latin-1").translate(self.shown)
-        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        self.shown = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.marks = {c: self._text(c) for c in [*".,;:!?\n", ""]}
+        self.ends = frozenset(".,;:!?")
+        self.model = self.tokenizer.model
+        self.pieces = _Pieces()
 
     def _text(self, text: str) -> bytes:
-        if self.latin(text):
-            return b"".join(map(self.words.__getitem__, self.find(text)))
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, before: str, letters: str) -> bytes:
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(before + letters)]).tobytes()
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Encodings of pieces, each after a space."""
+        out, rest, known = {}, [], self.pieces.get
+        for p in new:
+            stem, mark = (p[:-1], p[-1]) if p[-1:] in self.ends else (p, "")
+            # letters, a mark after letters, and a line's end between such are token runs of their own for the pre-tokeniser
+            if stem.isalpha() and max(stem) < "\u0250":
+                code = known(stem) or out.get(stem)
+                if code is None:
+                    code = out[stem] = self._word("\u0120", stem)
+                if mark:
+                    out[p] = code + self.marks[mark]
+                continue
+            head, line, tail = stem.partition("\n")
+            end, letters = (head[-1], head[:-1]) if head[-1:] in self.ends else ("", head)
+            if line and tail.isalpha() and letters.isalpha() and max(letters + tail) < "\u0250":
+                code = known(letters) or out.get(letters)
+                if code is None:
+                    code = out[letters] = self._word("\u0120", letters)
+                out[p] = code + self.marks[end] + self.marks[line] + self._word("", tail) + self.marks[mark]
+            else:
+                rest.append(p)
+        if rest:
+            ids = np.array(self.tokenizer.encode(" " + " ".join(rest), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.opens[ids])
+            if len(cut) == len(rest):
+                data, cut = ids.tobytes(), [*(cut * 4).tolist(), len(ids) * 4]
+                out.update((p, data[i:j]) for p, i, j in zip(rest, cut, cut[1:]))
+            else:
+                out.update((p, self._text(" " + p)) for p in rest)
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Each text's token ids as little-endian 32-bit integers."""
+        cut = [None if "  " in t else t.split(" ") for t in texts]
+        new = [p for p in dict.fromkeys(chain.from_iterable(c[1:] for c in cut if c)) if p not in self.pieces]
+        learnt = self._learn(new) if new else {}
+        room = max(0, CACHE_PIECES - len(self.pieces))
+        self.pieces.update(learnt if room >= len(learnt) else islice(learnt.items(), room))
+        self.pieces.rest = learnt
+        get = self.pieces.__getitem__
+        return [self._text(t) if c is None else self._text(c[0]) + b"".join(map(get, c[1:])) for t, c in zip(texts, cut)]
 
     def encode(self, text: str) -> bytes:
-        """The text's token ids as little-endian 32-bit integers."""
-        if "  " in text:
-            return self._text(text)
-        head, *rest = text.split(" ")
-        return self._text(head) + b"".join(map(self.pieces.__getitem__, rest))
+        return self.encode_all([text])[0]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(name: str) -> Encoder:
+    """A worker's encoder, which the tasks that run in it one after the other share with what it has cached."""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = Encoder(name)
+    return _encoders[name]
 
 
 def key_of(doc_id: int | None, ordinal: int) -> bytes:
@@ -262,7 +307,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     def encode(batches):
         from pyspark import TaskContext
 
-        writer, encoder = ShardWriter(TaskContext.get().partitionId()), Encoder(tokenizer)
+        writer, encoder = ShardWriter(TaskContext.get().partitionId()), encoder_of(tokenizer)
         now, held, tail = None, [], struct.pack("<I", end_id)
 
         def put(doc_id, many):
@@ -273,10 +318,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
             return pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["value"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids, ready = part.column(0).to_pylist(), []
-                for doc_id, code in zip(ids, map(encoder.encode, part.column(1).to_pylist())):
+            texts, all_ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            for lo, hi in pieces_by_bytes(texts, 1_000_000):
+                ready = []
+                for doc_id, code in zip(all_ids[lo:hi], encoder.encode_all(texts[lo:hi])):
                     if held and doc_id != now:
                         ready.extend(put(now, held))
                         held = []
