@@ -8,13 +8,17 @@ background; the lower, the more it is like the target.
 
     p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU),    p(w) = (c(w) + 1/2) / (N + UNI / 2)
 
-Words and bigrams are counted by 64-bit hashes in tables that grow with the corpus. A bigram's losses are joined to the
-bigrams of each text; those of the bigrams that make up more than 1 / `HEAVY` of all (fewer than `HEAVY`) are broadcast,
-so no key of that join has more than this share of the rows.
-
-A text starts after a boundary word; null, empty and wordless texts have 0 tokens and losses 0.
-Without target documents both models are the background. Repeated rows count as often as they occur; where a doc_id
-has several labels the best holds. Extra columns are ignored.
+Texts are read once, in blocks of about `BLOCK_CHARS` characters, and kept as word codes with the words' hashes. A block
+asks for the corpus's counts of its distinct bigrams and words: it sends each with its own counts to the part of the
+hashes' range that it falls in, the parts add up, and the sums go back to the blocks in the order they were asked in.
+So what is gathered grows with the corpus, a word or bigram is sent once for each block however often it occurs (no key
+is hot), and neither texts nor tables of counts meet in one task or on the driver. A hash has 48 bits beyond those of
+its part, and parts are as many as blocks, so the chance that two of them are taken for one does not grow with the corpus.
+
+A text starts after a boundary word; null, empty and wordless texts have 0 tokens and losses 0. A very long text is a
+block of its own. Without target documents both models are the background. Repeated rows count as often as they
+occur; where a doc_id has several labels the best holds; a null doc_id is never a target. An empty table gives no
+scores. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,119 +31,181 @@ from pyspark.sql import functions as F
 from ._common import hash_words, materialize, mix64, pieces_by_bytes, text_or_empty, word_codes
 from .toxicity import is_held_out
 
-UNI, MU, HEAVY, FEW_WORDS = 1 << 18, 20.0, 1 << 17, 200_000
-_TURN = 23
+UNI, MU, BLOCK_CHARS = 1 << 18, 20.0, 8_000_000
+_TURN, _LOW = np.uint64(23), 48
+_WORD = np.uint64(0xA0761D6478BD642F)
 
 
-def events(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every word of the texts: hash of the word before it (0 at a start), hash of the bigram; words per text.
+def _pack(codes: np.ndarray) -> bytes:
+    """32-bit numbers by their bytes' planes, compressed."""
+    import zstandard
 
-    The bigram's hash is the word's xor the turned hash of the word before, so the word's can be told from both.
-    """
-    codes, counts, words = word_codes(texts)
-    h = mix64(hash_words(words) + np.uint64(3))[codes] if words else np.zeros(0, np.uint64)
-    before = np.zeros_like(h)
-    before[1:] = h[:-1]
-    starts = (np.cumsum(counts) - counts)[counts > 0]
-    before[starts] = 0
-    pair = h ^ (before << np.uint64(_TURN) | before >> np.uint64(64 - _TURN))
-    return before.view(np.int64), pair.view(np.int64), counts
+    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def count(texts: list, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct bigrams, the word before of each, and their background and target counts."""
-    v, b, counts = events(texts)
-    pair, first, inv = np.unique(b, return_index=True, return_inverse=True)
-    return pair, v[first], np.bincount(inv, minlength=len(pair)), np.bincount(inv, np.repeat(target, counts), len(pair)).astype(np.int64)
+def _unpack(data: bytes) -> np.ndarray:
+    import zstandard
 
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
-def bigrams(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(pair, v, n, t): every bigram of docs with its background and target counts."""
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_g")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    # merged at any size: texts are dealt out once, and the labelled ids are never assumed to be few
-    rows = rows.join(good.hint("merge"), F.col("doc_id") == F.col("_g"), "left").select("text", (F.col("_g").isNotNull() & ~is_held_out()).alias("target"))
 
-    def run(batches):
-        for b in batches:
-            texts, target = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi in pieces_by_bytes(texts, 8_000_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in count(texts[lo:hi], target[lo:hi])], ["pair", "v", "n", "t"])
+def blocks(docs: DataFrame) -> DataFrame:
+    """(block, doc_ids, counts, codes, words): blocks of texts as codes of words, the most frequent ones first."""
 
-    seen = rows.mapInArrow(run, "pair long, v long, n long, t long")
-    return seen.groupBy("pair").agg(F.min("v").alias("v"), F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def losses(counted: DataFrame) -> DataFrame:
-    """(pair, n, target, background): each bigram's loss under both models. counted as from bigrams()."""
-    total = counted.agg(F.sum("n"), F.sum("t")).first()
-    n_all, n_good = total[0] or 0, total[1] or 0
-    if not n_good:
-        counted, n_good = counted.withColumn("t", F.col("n")), n_all
-    scale = n_good / n_all if n_all else 1.0
-    turned = F.shiftleft("v", _TURN).bitwiseOR(F.shiftrightunsigned("v", 64 - _TURN))
-    rows = counted.withColumn("w", F.col("pair").bitwiseXOR(turned))
-    sums = [F.sum(c).alias(c) for c in ("wn", "wt", "vn", "vt")]
-    zero = F.lit(0).cast("long")
-    as_word = rows.select(F.col("w").alias("word"), F.col("n").alias("wn"), F.col("t").alias("wt"), zero.alias("vn"), zero.alias("vt"))
-    as_context = rows.select(F.col("v").alias("word"), zero.alias("wn"), zero.alias("wt"), F.col("n").alias("vn"), F.col("t").alias("vt"))
-    words = materialize(as_word.union(as_context).groupBy("word").agg(*sums), "words")
-    side = F.broadcast if words.count() <= FEW_WORDS else lambda x: x
-    rows = rows.join(side(words.select(F.col("word").alias("w"), "wn", "wt")), "w").join(side(words.select(F.col("word").alias("v"), "vn", "vt")), "v")
+    def run(batches):
+        from pyspark import TaskContext
 
-    def loss(n: str, wn: str, vn: str, by: float):
-        p1 = (F.col(wn) * by + 0.5) / (n_good + UNI / 2)
-        return (F.log(F.col(vn) * by + MU) - F.log(F.col(n) * by + MU * p1)).cast("float")
+        block = TaskContext.get().partitionId() << 33
+        ids, texts = [], []
 
-    return rows.select("pair", "n", loss("t", "wt", "vt", 1.0).alias("target"), loss("n", "wn", "vn", scale).alias("background"))
+        def made():
+            codes, counts, words = word_codes(texts)
+            order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            h = mix64(hash_words(words) + np.uint64(3))[order] if words else np.zeros(0, np.uint64)
+            cols = [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([_pack(rank[codes])]), pa.array([h.astype("<u8").tobytes()])]
+            return pa.RecordBatch.from_arrays(cols, ["block", "doc_ids", "counts", "codes", "words"])
 
+        held = 0
+        for b in batches:
+            new_ids, new = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for lo, hi in pieces_by_bytes(new, BLOCK_CHARS // 8):
+                size = sum(map(len, new[lo:hi]))
+                if texts and held + size > BLOCK_CHARS:
+                    yield made()
+                    block, ids, texts, held = block + 1, [], [], 0
+                ids += new_ids[lo:hi]
+                texts += new[lo:hi]
+                held += size
+        if texts:
+            yield made()
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) of every row of docs."""
-    counted = materialize(bigrams(docs, labels), "bigrams")
-    known = materialize(losses(counted), "losses")
-    least = (counted.agg(F.sum("n")).first()[0] or 0) / HEAVY
-    top = known.where(F.col("n") > least).select("pair", "target", "background").orderBy("pair").toArrow()  # fewer than HEAVY rows
-    heavy = docs.sparkSession.sparkContext.broadcast(tuple(top.column(k).to_numpy() for k in range(3)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "block long, doc_ids array<long>, counts array<long>, codes binary, words binary")
+
+
+class Asked:
+    """What a block asks for: its distinct bigrams and words in the order of their hashes, and its own counts of them."""
+
+    def __init__(self, counts: np.ndarray, codes: bytes, words: bytes):
+        self.counts = counts
+        self.code, h = _unpack(codes).astype(np.int64), np.frombuffer(words, "<u8")
+        ends = np.cumsum(counts)
+        some = counts > 0
+        self.last, self.first = (ends - 1)[some], (ends - counts)[some]
+        self.text = np.repeat(np.arange(len(counts)), counts)
+        v = np.zeros(len(self.code), np.uint64)
+        v[1:] = h[self.code[:-1]]
+        v[self.first] = 0
+        pair = h[self.code] ^ (v << _TURN | v >> np.uint64(64) - _TURN)
+        pairs, at, self.pair = np.unique(pair, return_index=True, return_inverse=True)
+        # of each bigram its word, and the word before it (one more than the last at a start)
+        self.word, before = self.code[at], np.full(len(self.code), len(h))
+        before[1:] = self.code[:-1]
+        before[self.first] = len(h)
+        self.before = before[at]
+        self.n_pairs, self.n_words = len(pairs), len(h)
+        keys = np.concatenate((pairs, mix64(h ^ _WORD)))
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def counted(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each key how often texts `of` (booleans) have it, and how often it ends one of them."""
+        token = np.repeat(of, self.counts)
+        n = np.concatenate((np.bincount(self.pair[token], minlength=self.n_pairs), np.bincount(self.code[token], minlength=self.n_words)))
+        last = self.last[of[self.counts > 0]]
+        end = np.concatenate((np.zeros(self.n_pairs, np.int64), np.bincount(self.code[last], minlength=self.n_words)))
+        return n[self.order], end[self.order]
+
+    def told(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums in the keys' order as those of bigrams and those of words."""
+        out = np.empty(len(sums))
+        out[self.order] = sums
+        return out[: self.n_pairs], out[self.n_pairs :]
+
+
+def _lists(values: np.ndarray, cut: np.ndarray, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values.astype(kind)))
+
+
+_COUNTS = ("n", "t", "n_end", "t_end")
+_ASKED = "part long, block long, high array<int>, low array<short>, " + ", ".join(f"{c} array<int>" for c in _COUNTS)
+_TOLD = "block long, part long, " + ", ".join(f"{c} array<long>" for c in _COUNTS)
+_SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+
+
+def _asks(known: DataFrame, bits: int) -> DataFrame:
+    """A row for each block and part of the hashes: keys, and the block's counts of them."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        pairs, target, background = heavy.value
-        row = TaskContext.get().partitionId() << 33
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in pieces_by_bytes(texts, 4_000_000):
-                _, bigram, counts = events(texts[lo:hi])
-                doc = np.repeat(np.arange(hi - lo), counts)
-                at = np.minimum(np.searchsorted(pairs, bigram), max(len(pairs) - 1, 0))
-                top = pairs[at] == bigram if len(pairs) else np.zeros(len(bigram), bool)
-                sums = [np.bincount(doc[top], x[at[top]].astype(np.float64), hi - lo) if len(pairs) else np.zeros(hi - lo) for x in (target, background)]
-                # a row for each text (without a bigram), then one for each of its bigrams that is not broadcast
-                d, g, none = doc[~top], bigram[~top], hi - lo
-                order = np.lexsort((g, d))
-                d, g = d[order], g[order]
-                new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (g[1:] != g[:-1])))) if len(d) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(d)))
-                row_of = np.concatenate((np.arange(none), d[new])) + row
-                row += none
-                pad = pa.nulls(len(new), pa.float64())
+            for k in range(b.num_rows):
+                block, counts, codes, words, target = (b.column(c)[k].as_py() for c in ("block", "counts", "codes", "words", "target"))
+                asked, of = Asked(np.array(counts, np.int64), codes, words), np.zeros(len(counts), bool)
+                of[target or []] = True
+                sums = [x for pair in zip(asked.counted(np.ones(len(counts), bool)), asked.counted(of)) for x in pair]
+                part = asked.keys >> np.uint64(64 - bits) if bits else np.zeros(len(asked.keys), np.uint64)
+                parts, first = np.unique(part, return_index=True)
+                cut = np.append(first, len(part))
+                low = asked.keys << np.uint64(bits) >> np.uint64(64 - _LOW)
+                cols = [(low >> np.uint64(16)).astype(np.uint32).view(np.int32), (low & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row_of),
-                        pa.chunked_array([b.column(0).slice(lo, none), pa.nulls(len(new), pa.int64())]).combine_chunks(),
-                        pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(g[new])]),
-                        pa.array(np.concatenate((counts, times))),
-                        *(pa.concat_arrays([pa.array(x), pad]) for x in sums),
-                    ],
-                    ["row", "doc_id", "pair", "n", "target", "background"],
+                    [pa.array(parts.astype(np.int64)), pa.array(np.full(len(parts), block)), _lists(cols[0], cut, np.int32), _lists(cols[1], cut, np.int16), *(_lists(x, cut, np.int32) for x in sums)],
+                    ["part", "block", "high", "low", *_COUNTS],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    found = materialize(rows.mapInArrow(run, "row long, doc_id long, pair long, n long, target double, background double"), "events")
-    whole = found.where("pair is null").select("row", "doc_id", F.col("n").alias("n_tokens"), "target", "background")
-    light = known.where(F.col("n") <= least).select("pair", F.col("target").alias("a"), F.col("background").alias("b"))
-    part = found.where("pair is not null").select("row", "pair", "n").join(light, "pair").groupBy("row").agg(F.sum(F.col("n") * F.col("a").cast("double")).alias("a"), F.sum(F.col("n") * F.col("b").cast("double")).alias("b"))
-    each = [((F.col(x) + F.coalesce(y, F.lit(0.0))) / F.greatest("n_tokens", F.lit(1))) for x, y in (("target", "a"), ("background", "b"))]
-    out = whole.join(part, "row", "left").select("doc_id", "n_tokens", each[0].alias("target_loss"), each[1].alias("background_loss"))
-    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    return known.mapInArrow(run, _ASKED)
+
+
+def _add_up(group: pa.Table) -> pa.Table:
+    """The sums of one part, for each block that asked, in its keys' order."""
+    group = group.combine_chunks()
+    flat = {c: group.column(c).chunk(0).flatten().to_numpy() for c in ("high", "low", *_COUNTS)}
+    cut = np.append(0, np.cumsum([len(x) for x in group.column("low").chunk(0)]))
+    keys = (flat["high"].view(np.uint32).astype(np.uint64) << np.uint64(16)) | flat["low"].view(np.uint16)
+    _, inv = np.unique(keys, return_inverse=True)
+    sums = [np.bincount(inv, flat[c])[inv] for c in _COUNTS]
+    return pa.table([group.column("block"), group.column("part"), *(_lists(x, cut, np.int64) for x in sums)], names=["block", "part", *_COUNTS])
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) of every row of docs."""
+    known = materialize(blocks(docs), "blocks")
+    each = known.select("block", F.posexplode(F.arrays_zip("doc_ids", "counts")).alias("pos", "x")).select("block", "pos", F.col("x.doc_ids").alias("doc_id"), F.col("x.counts").alias("n"))
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    target = materialize(each.where(~is_held_out()).join(good, "doc_id", "left_semi").select("block", "pos", "n"), "target")
+    sizes = [F.sum("n"), F.sum(F.when(F.col("n") > 0, 1))]
+    (n_all, starts), (n_good, good_starts) = ([x or 0 for x in rows.agg(*sizes).first()] for rows in (each, target))
+    if not n_good:
+        n_good, good_starts = n_all, starts
+        which = 0  # the background's counts serve as the target's
+    else:
+        which = 1
+    scale = n_good / n_all if n_all else 1.0
+    bits = max(0, known.count() - 1).bit_length()
+    flags = target.groupBy("block").agg(F.collect_list("pos").alias("target"))  # no more than a block's texts
+    asks = _asks(known.join(flags, "block", "left").select("block", "counts", "codes", "words", "target"), bits)
+    told = asks.groupBy("part").applyInArrow(_add_up, _TOLD)
+
+    def loss(asked: Asked, pair, word, end, begun: int, by: float) -> np.ndarray:
+        p1 = (word * by + 0.5) / (n_good + UNI / 2)
+        context = np.append(word - end, begun)
+        return np.log(context[asked.before] * by + MU) - np.log(pair * by + MU * p1[asked.word])
+
+    def finish(block: pa.Table, sums: pa.Table) -> pa.Table:
+        row = {c: block.column(c)[0] for c in ("doc_ids", "counts", "codes", "words")}
+        counts = np.array(row["counts"].as_py(), np.int64)
+        ids, per = pa.array(row["doc_ids"].as_py(), pa.int64()), np.maximum(counts, 1)
+        mean = [np.zeros(len(counts))] * 2
+        if counts.sum():
+            asked, sums = Asked(counts, row["codes"].as_py(), row["words"].as_py()), sums.sort_by("part").combine_chunks()
+            got = [asked.told(sums.column(c).chunk(0).flatten().to_numpy()) for c in _COUNTS]
+            at = [(got[which], got[2 + which], good_starts, 1.0), (got[0], got[2], starts, scale)]
+            each = [loss(asked, *n, end[1], begun, by) for n, end, begun, by in at]
+            mean = [np.bincount(asked.text, x[asked.pair], len(counts)) / per for x in each]
+        return pa.table([ids, pa.array(counts), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    return known.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, _SCORES)
