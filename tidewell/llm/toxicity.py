@@ -4,19 +4,22 @@ Inputs of a word: a hashed word embedding and the two end states of a character-
 bytes. A second bidirectional GRU runs over windows of words; attention pools its states into one logit. A document's
 score is the highest of its overlapping windows (`WINDOW` words every `STRIDE`; the last window ends with the text).
 
-Training is numpy on the driver, on a bounded sample of labelled rows (`MAX_TOXIC` and `MAX_CLEAN` documents of up to
-`MAX_TRAIN_CHARS` characters, chosen by a hash of the identifier; at most `MAX_TRAIN_WINDOWS` windows of each). A
-label holds for a document, not a window, so after a first pass over random windows the loss is taken at each
-document's highest window, chosen anew each epoch (multiple-instance learning); it stops early once the mean loss of an
-epoch is under `ENOUGH`. Scoring covers every word of every text.
-
-Null or empty text has no words and is scored as a window of padding. Without labels of both kinds the network stays
-untrained and every score is the share of toxic labels (0 where there are none). Extra columns are ignored.
+Training is numpy on the driver, on a bounded sample of labelled rows (`MAX_TOXIC` and `MAX_CLEAN` different texts,
+chosen by a hash of the row), with all their windows. A label holds for a document, not a window, so after a first pass
+over random windows the loss is taken at each document's highest window, chosen anew each epoch (multiple-instance
+learning); it stops early once the mean loss of an epoch is under `ENOUGH`. Scoring covers every word of every text.
+
+A word of more than `UNIT` bytes (base64, scripts without spaces) is read as words of `UNIT` bytes, so memory is
+bounded by the piece of text at hand. Null or empty text has no words and is scored as a window of padding. Without
+labels of both kinds the network stays untrained and every score is the share of toxic labels (0 where there are none).
+Repeated rows have the same score and are one training row; of several labels of a doc_id the highest holds. An empty
+table gives no scores. `score` ignores extra columns, `reject` keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from ._common import pieces_by_bytes, text_or_empty, word_codes
 
 WINDOW, STRIDE = 64, 48
-MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_CHARS, MAX_TRAIN_WINDOWS = 900, 1600, 60_000, 24
+MAX_TOXIC, MAX_CLEAN, UNIT = 900, 1600, 64
 BUCKETS, WORD_DIM, CHAR_DIM, CHAR_H, H = 4096, 8, 12, 16, 8
 EPOCHS, BATCH, RATE, ENOUGH = 12, 32, 0.01, 0.005
 _PAD_GATE = 30.0  # as update gate: keeps the state over padding
@@ -110,6 +113,20 @@ def word_vectors(p, words: list[bytes]) -> np.ndarray:
     return out
 
 
+def units(texts: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """As word_codes, with words of more than UNIT bytes cut into such of UNIT bytes."""
+    codes, counts, words = word_codes(texts)
+    size = np.fromiter((-(-len(w) // UNIT) for w in words), np.int64, len(words))
+    if not (size > 1).any():
+        return codes, counts, words
+    seen: dict[bytes, int] = {}
+    parts = [[seen.setdefault(w[i : i + UNIT], len(seen)) for i in range(0, len(w), UNIT)] for w in words]
+    flat, first, per = np.fromiter(chain.from_iterable(parts), np.int64), np.cumsum(size) - size, size[codes]
+    place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    total = np.bincount(np.repeat(np.arange(len(counts)), counts), per, len(counts)).astype(np.int64)
+    return flat[np.repeat(first[codes], per) + place], total, list(seen)
+
+
 def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts of so many words: each window's text, first word (over all texts), and words it has."""
     first = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(counts) else counts
@@ -148,8 +165,8 @@ def score_texts(p, texts: list) -> np.ndarray:
     if "base" in p:
         return np.full(len(texts), float(p["base"]))
     out = np.empty(len(texts))
-    for lo, hi in pieces_by_bytes(texts, 3_000_000):
-        codes, counts, words = word_codes(texts[lo:hi])
+    for lo, hi in pieces_by_bytes(texts, 1_000_000):
+        codes, counts, words = units(texts[lo:hi])
         text, first, n = windows_of(counts)
         best = np.full(hi - lo, -np.inf, np.float32)
         np.maximum.at(best, text, window_logits(p, codes, words, first, n))
@@ -221,19 +238,16 @@ def train(texts: list, labels: list[int], seed: int = 7) -> dict[str, np.ndarray
         return {"base": np.float64(y.mean() if len(y) else 0)}
     r, p = np.random.default_rng(seed), init_params(seed)
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    codes, counts, words = word_codes(texts)
+    codes, counts, words = units(texts)
     text, first, n = windows_of(counts)
-    bounds = np.searchsorted(text, np.arange(len(texts) + 1))
     pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     rounds = max(EPOCHS, int(np.ceil(220 / (2 * max(len(pos), len(neg)) / BATCH))))
     half = BATCH // 2
-    tried = np.concatenate([r.permutation(np.arange(lo, hi))[:MAX_TRAIN_WINDOWS] for lo, hi in zip(bounds, bounds[1:])])
-    owner = text[tried]
     for epoch in range(rounds):
         # each document is held to its highest window so far; at first to any
-        rank = window_logits(p, codes, words, first[tried], n[tried]) if epoch else r.random(len(tried))
-        order = np.lexsort((rank, owner))
-        top = tried[order[np.append(np.flatnonzero(np.diff(owner[order])), len(order) - 1)]]
+        rank = window_logits(p, codes, words, first, n) if epoch else r.random(len(text))
+        order = np.lexsort((rank, text))
+        top = order[np.append(np.flatnonzero(np.diff(text[order])), len(order) - 1)]
         size, loss = max(len(pos), len(neg)), []
         a, b = (np.resize(r.permutation(x), size) for x in (pos, neg))
         for lo in range(0, size, half):
@@ -274,15 +288,15 @@ def is_held_out():
 def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     """Train on a bounded sample of labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    # texts are only measured and hashed here; those of the chosen rows are read afterwards
-    rows = docs.where(~is_held_out() & (F.length(text_or_empty()) <= MAX_TRAIN_CHARS)).select("doc_id", F.xxhash64("doc_id", text_or_empty()).alias("_order")).join(known, "doc_id")
+    # texts are only hashed here; those of the chosen rows are read afterwards
+    order = F.xxhash64("doc_id", text_or_empty())
+    rows = docs.where(~is_held_out()).select("doc_id", order.alias("_order")).distinct().join(known, "doc_id")
     got = []
     for toxic, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
-        some = rows.where(F.col("_toxic") == toxic)
-        ids = some.select("_order", "doc_id").orderBy("_order").limit(most).select("_order", "doc_id").collect()
-        if ids:  # bounded by the parameters above
-            keys = [r[1] for r in ids]
-            got += docs.where(F.col("doc_id").isin(keys)).select("doc_id", text_or_empty().alias("t"), F.lit(toxic)).collect()
+        chosen = [r[0] for r in rows.where(F.col("_toxic") == toxic).select("_order").orderBy("_order").limit(most).collect()]
+        if chosen:  # bounded by the parameters above, however often a row is repeated
+            texts = docs.select("doc_id", text_or_empty().alias("t"), order.alias("_order")).where(F.col("_order").isin(chosen))
+            got += texts.groupBy("_order").agg(F.first("doc_id").alias("doc_id"), F.first("t").alias("t")).select("doc_id", "t", F.lit(toxic)).collect()
     got.sort(key=lambda x: (zlib.crc32(str(x[0]).encode()), x[1]))
     return train([x[1] for x in got], [x[2] for x in got])
 
