@@ -6,7 +6,7 @@ import random
 import numpy as np
 from test_llm import SCHEMA, prose
 
-from tidewell.llm import minhash
+from tidewell.llm import components, minhash
 
 
 def packed(x):
@@ -74,3 +74,12 @@ def test_copies_without_their_original(spark):
         least[find(k)] = min(least[find(k)], row[0])
     want = collections.Counter((rows[k][0], least[find(k)]) for k in range(len(rows)))
     assert collections.Counter((x.doc_id, x.class_id) for x in got) == want
+
+
+def test_components_with_more_edges(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)]
+    old, new = (spark.createDataFrame(x, "a BIGINT, b BIGINT") for x in (edges[:20], edges[20:]))
+    got = {x.node: x.label for x in components.extend(components.components(old), new).collect()}
+    want = {x.node: x.label for x in components.components(old.union(new)).collect()}
+    assert got == want

@@ -29,3 +29,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = nxt.select("node", F.col("_new").alias("label"))
         if nxt.where("_moved").isEmpty():
             return labels
+
+
+def extend(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components of the graph whose components so far are labels, with more edges (a, b): only labels are linked anew."""
+    for side in "ab":
+        edges = edges.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
+    top = components(edges.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    moved = labels.join(top.select(F.col("node").alias("label"), F.col("label").alias("_to")), "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
+    return materialize(moved.union(top.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")

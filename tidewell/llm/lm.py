@@ -25,13 +25,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hash_words, materialize, mix64, pieces_by_bytes, text_or_empty, word_codes
+from ._common import hash_words, materialize, mix64, text_or_empty, word_codes
 from .toxicity import is_held_out
 
-UNI, MU, BLOCK_CHARS = 1 << 18, 20.0, 8_000_000
+UNI, MU, BLOCK_CHARS = 1 << 18, 20.0, 4_000_000
 _TURN, _LOW = np.uint64(23), 48
 _WORD = np.uint64(0xA0761D6478BD642F)
 
@@ -71,14 +72,15 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         held = 0
         for b in batches:
-            new_ids, new = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in pieces_by_bytes(new, BLOCK_CHARS // 8):
-                size = sum(map(len, new[lo:hi]))
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                new = part.column(1).to_pylist()
+                size = sum(map(len, new))
                 if texts and held + size > BLOCK_CHARS:
                     yield made()
                     block, ids, texts, held = block + 1, [], [], 0
-                ids += new_ids[lo:hi]
-                texts += new[lo:hi]
+                ids += part.column(0).to_pylist()
+                texts += new
                 held += size
         if texts:
             yield made()
@@ -92,18 +94,18 @@ class Asked:
 
     def __init__(self, counts: np.ndarray, codes: bytes, words: bytes):
         self.counts = counts
-        self.code, h = _unpack(codes).astype(np.int64), np.frombuffer(words, "<u8")
+        self.code, h = _unpack(codes).astype(np.int32), np.frombuffer(words, "<u8")
         ends = np.cumsum(counts)
         some = counts > 0
         self.last, self.first = (ends - 1)[some], (ends - counts)[some]
-        self.text = np.repeat(np.arange(len(counts)), counts)
+        self.text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         v = np.zeros(len(self.code), np.uint64)
         v[1:] = h[self.code[:-1]]
         v[self.first] = 0
         pair = h[self.code] ^ (v << _TURN | v >> np.uint64(64) - _TURN)
         pairs, at, self.pair = np.unique(pair, return_index=True, return_inverse=True)
         # of each bigram its word, and the word before it (one more than the last at a start)
-        self.word, before = self.code[at], np.full(len(self.code), len(h))
+        self.word, before = self.code[at], np.full(len(self.code), len(h), np.int32)
         before[1:] = self.code[:-1]
         before[self.first] = len(h)
         self.before = before[at]
@@ -131,12 +133,41 @@ def _lists(values: np.ndarray, cut: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values.astype(kind)))
 
 
-_COUNTS = ("n", "t", "n_end", "t_end")
-_ASKED = "part long, block long, high array<int>, low array<short>, " + ", ".join(f"{c} array<int>" for c in _COUNTS)
-_TOLD = "block long, part long, " + ", ".join(f"{c} array<long>" for c in _COUNTS)
+#: Counts of keys: small ones in four bits each, greater ones and those of texts' ends by their place.
+_COUNTS = ("few", "at", "n", "t", "end_at", "n_end", "t_end")
+_KINDS = "few array<byte>, at array<int>, n array<long>, t array<long>, end_at array<int>, n_end array<long>, t_end array<long>"
+_ASKED = "part long, block long, high array<int>, low array<short>, " + _KINDS
+_TOLD = "block long, part long, " + _KINDS
 _SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
+def _pack_counts(n: np.ndarray, t: np.ndarray, n_end: np.ndarray, t_end: np.ndarray, cut: np.ndarray) -> list[pa.Array]:
+    """Lists of counts, one for each stretch of keys between cuts."""
+
+    def sparse(where, *counts):
+        at = np.flatnonzero(where)
+        by = np.searchsorted(at, cut)
+        return [_lists(at - np.repeat(cut[:-1], np.diff(by)), by, np.int32), *(_lists(x[at], by, np.int64) for x in counts)]
+
+    few = (np.minimum(n, 15) << 4 | np.minimum(t, 15)).astype(np.uint8).view(np.int8)
+    return [_lists(few, cut, np.int8), *sparse(n >= 15, n, t), *sparse(n_end > 0, n_end, t_end)]
+
+
+def _unpack_counts(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """n, t, n_end and t_end of the keys of all rows, and where the rows' keys are cut."""
+    col = {c: rows.column(c).combine_chunks() for c in _COUNTS}
+    size = {c: pc.list_value_length(col[c]).to_numpy() for c in ("few", "at", "end_at")}
+    flat = {c: x.flatten().to_numpy() for c, x in col.items()}
+    cut = np.append(0, np.cumsum(size["few"]))
+    few = flat["few"].view(np.uint8)
+    out = [(few >> 4).astype(np.int64), (few & 15).astype(np.int64), np.zeros(len(few), np.int64), np.zeros(len(few), np.int64)]
+    for at, pair in (("at", ("n", "t")), ("end_at", ("n_end", "t_end"))):
+        where = np.repeat(cut[:-1], size[at]) + flat[at]
+        for x, c in zip(out[2 * (at == "end_at") :], pair):
+            x[where] = flat[c]
+    return out, cut
+
+
 def _asks(known: DataFrame, bits: int) -> DataFrame:
     """A row for each block and part of the hashes: keys, and the block's counts of them."""
 
@@ -153,7 +184,7 @@ def _asks(known: DataFrame, bits: int) -> DataFrame:
                 low = asked.keys << np.uint64(bits) >> np.uint64(64 - _LOW)
                 cols = [(low >> np.uint64(16)).astype(np.uint32).view(np.int32), (low & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(parts.astype(np.int64)), pa.array(np.full(len(parts), block)), _lists(cols[0], cut, np.int32), _lists(cols[1], cut, np.int16), *(_lists(x, cut, np.int32) for x in sums)],
+                    [pa.array(parts.astype(np.int64)), pa.array(np.full(len(parts), block)), _lists(cols[0], cut, np.int32), _lists(cols[1], cut, np.int16), *_pack_counts(*sums, cut)],
                     ["part", "block", "high", "low", *_COUNTS],
                 )
 
@@ -162,13 +193,12 @@ def _asks(known: DataFrame, bits: int) -> DataFrame:
 
 def _add_up(group: pa.Table) -> pa.Table:
     """The sums of one part, for each block that asked, in its keys' order."""
-    group = group.combine_chunks()
-    flat = {c: group.column(c).chunk(0).flatten().to_numpy() for c in ("high", "low", *_COUNTS)}
-    cut = np.append(0, np.cumsum([len(x) for x in group.column("low").chunk(0)]))
-    keys = (flat["high"].view(np.uint32).astype(np.uint64) << np.uint64(16)) | flat["low"].view(np.uint16)
+    counts, cut = _unpack_counts(group)
+    high, low = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("high", "low"))
+    keys = (high.view(np.uint32).astype(np.uint64) << np.uint64(16)) | low.view(np.uint16)
     _, inv = np.unique(keys, return_inverse=True)
-    sums = [np.bincount(inv, flat[c])[inv] for c in _COUNTS]
-    return pa.table([group.column("block"), group.column("part"), *(_lists(x, cut, np.int64) for x in sums)], names=["block", "part", *_COUNTS])
+    sums = [np.bincount(inv, x)[inv].astype(np.int64) for x in counts]
+    return pa.table([group.column("block"), group.column("part"), *_pack_counts(*sums, cut)], names=["block", "part", *_COUNTS])
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -187,7 +217,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scale = n_good / n_all if n_all else 1.0
     bits = max(0, known.count() - 1).bit_length()
     flags = target.groupBy("block").agg(F.collect_list("pos").alias("target"))  # no more than a block's texts
-    asks = _asks(known.join(flags, "block", "left").select("block", "counts", "codes", "words", "target"), bits)
+    # the same columns as below, so that both read one shuffle of the blocks
+    asks = _asks(known.join(flags, "block", "left"), bits)
     told = asks.groupBy("part").applyInArrow(_add_up, _TOLD)
 
     def loss(asked: Asked, pair, word, end, begun: int, by: float) -> np.ndarray:
@@ -201,8 +232,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         ids, per = pa.array(row["doc_ids"].as_py(), pa.int64()), np.maximum(counts, 1)
         mean = [np.zeros(len(counts))] * 2
         if counts.sum():
-            asked, sums = Asked(counts, row["codes"].as_py(), row["words"].as_py()), sums.sort_by("part").combine_chunks()
-            got = [asked.told(sums.column(c).chunk(0).flatten().to_numpy()) for c in _COUNTS]
+            asked = Asked(counts, row["codes"].as_py(), row["words"].as_py())
+            got = [asked.told(x) for x in _unpack_counts(sums.sort_by("part"))[0]]
             at = [(got[which], got[2 + which], good_starts, 1.0), (got[0], got[2], starts, scale)]
             each = [loss(asked, *n, end[1], begun, by) for n, end, begun, by in at]
             mean = [np.bincount(asked.text, x[asked.pair], len(counts)) / per for x in each]

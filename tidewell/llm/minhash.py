@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import hash_words, materialize, mix64, pieces_by_bytes, text_or_empty, word_codes
-from .components import components
+from .components import components, extend
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -241,7 +241,7 @@ def _pair(x: str, y: str) -> list[Column]:
 
 
 def _left_over(buckets: DataFrame, reps: DataFrame, sets: DataFrame, stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links (a, b) between texts that the stars left in different classes of a bucket."""
+    """labels, with the links between texts that the stars left in different classes of a bucket."""
     rest = materialize(_mixed(_relabel(buckets.select("key", "rep"), labels)), "rest")
     bounds = materialize(_bounds(rest, sets), "bounds")
     rest = materialize(_mixed(rest.join(bounds.where(_may_link("n", "u", "mass", "own")), "rep")), "rest")
@@ -251,7 +251,7 @@ def _left_over(buckets: DataFrame, reps: DataFrame, sets: DataFrame, stars: Data
     asked = rest.where("rep <> hub").select(*_pair("rep", "hub")).distinct()
     fresh = materialize(_measured(asked.join(stars, ["a", "b"], "left_anti"), sets), "spokes")
     spokes = stars.union(fresh)
-    labels = components(spokes.where("linked"))
+    labels = extend(labels, fresh.where("linked").select("a", "b"))
     same = F.col("rep") == F.col("hub")
     rest = rest.select("*", *_pair("rep", "hub")).join(spokes.select("a", "b", "both", "apart"), ["a", "b"], "left").where(same | F.col("both").isNotNull())
     rest = rest.select("key", "rep", "label", "n", "u", "many", F.when(same, 0).otherwise(F.col("n") + F.col("n_hub") - 2 * F.col("both")).alias("e"), F.when(same, 0.0).otherwise(F.col("apart")).alias("d"), (F.col("own") / F.col("mass")).alias("o"))
@@ -267,7 +267,7 @@ def _left_over(buckets: DataFrame, reps: DataFrame, sets: DataFrame, stars: Data
     found = x.join(y, (x["key"] == y["key"]) & (f("rep_a") < f("rep_b")) & (f("label_a") != f("label_b")) & (plain | by_count) & first)
     pairs = materialize(found.select(f("rep_a").alias("a"), f("rep_b").alias("b")).join(spokes.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     more = materialize(_measured(pairs, sets), "measured")
-    return spokes.union(more).where("linked").select("a", "b")
+    return extend(labels, more.where("linked").select("a", "b"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -292,8 +292,7 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = _rows(docs).join(part, ["doc_id", "h1", "h2"]).groupBy("doc_id", "h1", "h2", "rep").agg(F.first("text").alias("text")).select("rep", "text")
     sets = materialize(_shingled(texts), "texts")
     stars = materialize(_measured(pairs, sets), "stars")
-    links = _left_over(buckets, reps, sets, stars, components(stars.where("linked")))
-    labels = components(links.union(again))
+    labels = extend(_left_over(buckets, reps, sets, stars, components(stars.where("linked"))), again)
     exact = _relabel(reps.select("h1", "h2", "exact_id", "rep"), labels)
     first = exact.groupBy("label").agg(F.min("exact_id").alias("class_id"))
     out = sig.select("doc_id", "h1", "h2").join(exact.join(first, "label").select("h1", "h2", "exact_id", "class_id"), ["h1", "h2"], "left")
