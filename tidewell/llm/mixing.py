@@ -11,17 +11,22 @@ group, however hot its source, is more than a few hundred rows. Draws are hashes
 Sizes count runs of non-white-space (ASCII white space); null text has 0. Sources rank by code point, null last, with
 weights repeating; a target stops at `CAP` times its source's size and the excess is shared among the others by
 weight (water-filling, in closed form). A source of size 0 has target 0, and documents of size 0 take no words and get
-the whole part only. Rows that are equal in all columns are separate documents. An empty table gives an empty mix.
+the whole part only. Rows that are equal in all columns are separate documents (so they may be taken unequally often);
+they are numbered by input partition first, so that one row repeated very often is no task's alone. A null doc_id is as
+good as any. Very long texts and extra columns of any type and name only pass through. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ._common import materialize
 
 WEIGHTS, SHARE, CAP, FAN = (3.0, 1.0, 2.0), 1.5, 2.0, 64
+#: Copies of equal rows that one task writes.
+_CHUNK = 1024
 #: A fraction this close to a whole number is whole.
 _EPS = 1e-9
 
@@ -102,17 +107,31 @@ def rounded(units: DataFrame) -> DataFrame:
         units, level = left.drop("_g"), level + 1
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _key, a hash of the row, and _n, which tells equal rows apart."""
-    keyed = docs.withColumn("_key", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    return keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key")).cast("long"))
+def _has_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, MapType) or isinstance(kind, ArrayType) and _has_map(kind.elementType)
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of the whole row; maps, which have no hash, by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(f.name)) if _has_map(f.dataType) else F.col(f.name) for f in docs.schema])
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """sized with n, 1 to the number of equal rows: counted by input partition, then in each."""
+    counts = sized.groupBy("key", "part").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("key", "part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("key", "part").orderBy("part"))
+    return sized.withColumn("_place", place).join(counts, ["key", "part"]).withColumn("n", (F.col("_before") + F.col("_place")).cast("long")).drop("part", "_place", "_before")
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(key, n, doc_id, size, source_size, target, copies): one row per document, without its text."""
-    sized = docs.select(F.xxhash64(*[F.col(c) for c in docs.columns]).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    sized = docs.select(_row_key(docs).alias("key"), F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     sized = materialize(sized, "sizes")
-    numbered = sized.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key")).cast("long"))
+    numbered = _numbered(sized)
     goal = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
     goal = goal.select(F.col("source").alias("_s"), "source_size", "target")
     rows = numbered.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -127,7 +146,11 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CA
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """docs with each row as often as the mix takes it; all columns."""
-    copies = plan(docs, weights, share, cap).select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("copies").alias("_copies"))
-    per = copies.groupBy("_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_copies"))), lambda x: x["_copies"]).alias("_each"))
-    rows = _keyed(docs).join(per, "_key").withColumn("_times", F.element_at("_each", F.col("_n").cast("int")))
-    return rows.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    copies = plan(docs, weights, share, cap).groupBy("key").agg(F.sum("copies").alias("times")).where("times > 0")
+    # equal rows are one row taken as often as all of them; they meet before the shuffle
+    rows = docs.select(_row_key(docs).alias("key"), F.struct(*docs.columns).alias("row")).groupBy("key").agg(F.first("row").alias("row")).join(copies, "key")
+    chunks = F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / _CHUNK)))
+    often = rows.where(F.col("times") > _CHUNK).withColumn("chunk", chunks).repartition("key", "chunk")
+    often = often.select("row", F.least(F.lit(_CHUNK), F.col("times") - F.col("chunk") * _CHUNK).alias("times"))
+    each = rows.where(F.col("times") <= _CHUNK).select("row", "times").union(often)
+    return each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
