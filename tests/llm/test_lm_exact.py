@@ -36,3 +36,15 @@ def test_losses_do_not_blur_with_size(spark, monkeypatch):
                 loss[m] -= np.log((bi[m][v, w] * scale[m] + lm.MU * p1) / (context[m][v] * scale[m] + lm.MU))
         assert got[i].n_tokens == len(ws)
         assert (got[i].target_loss, got[i].background_loss) == pytest.approx((loss[1] / len(ws), loss[0] / len(ws)), abs=1e-5)
+
+
+def test_counts_of_any_size_come_back():
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    n = r.integers(0, 5, 1000) * np.array([1, 100, 300, 70_000, 1 << 40])[r.integers(0, 5, 1000)]
+    t, n_end = n // 3, np.where(r.random(1000) < 0.1, n // 2, 0)
+    cut = np.array([0, 0, 10, 400, 400, 1000])
+    rows = pa.table(lm._pack_counts(n, t, n_end, n_end // 2, cut), names=lm._COUNTS)
+    got, where = lm._unpack_counts(rows)
+    assert all((x == y).all() for x, y in zip(got, (n, t, n_end, n_end // 2))) and (where == cut).all()

@@ -133,9 +133,9 @@ def _lists(values: np.ndarray, cut: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values.astype(kind)))
 
 
-#: Counts of keys: small ones in a byte each, greater ones and those of texts' ends by their place.
-_COUNTS = ("few_n", "few_t", "at", "n", "t", "end_at", "n_end", "t_end")
-_KINDS = "few_n array<byte>, few_t array<byte>, at array<int>, n array<long>, t array<long>, end_at array<int>, n_end array<long>, t_end array<long>"
+#: Counts of keys: low and high byte apart; those over 16 bits, and those of texts' ends, by their place.
+_COUNTS = ("n_low", "n_high", "t_low", "t_high", "at", "n", "t", "end_at", "n_end", "t_end")
+_KINDS = "n_low array<byte>, n_high array<byte>, t_low array<byte>, t_high array<byte>, at array<int>, n array<long>, t array<long>, end_at array<int>, n_end array<long>, t_end array<long>"
 _ASKED = "part long, block long, high array<int>, low array<short>, " + _KINDS
 _TOLD = "block long, part long, " + _KINDS
 _SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
@@ -149,17 +149,18 @@ def _pack_counts(n: np.ndarray, t: np.ndarray, n_end: np.ndarray, t_end: np.ndar
         by = np.searchsorted(at, cut)
         return [_lists(at - np.repeat(cut[:-1], np.diff(by)), by, np.int32), *(_lists(x[at], by, np.int64) for x in counts)]
 
-    few = (_lists(np.minimum(x, 127), cut, np.int8) for x in (n, t))
-    return [*few, *sparse(n >= 127, n, t), *sparse(n_end > 0, n_end, t_end)]
+    few = (_lists((x >> shift & 255).astype(np.uint8).view(np.int8), cut, np.int8) for x in (n, t) for shift in (0, 8))
+    return [*few, *sparse(n >> 16 > 0, n, t), *sparse(n_end > 0, n_end, t_end)]
 
 
 def _unpack_counts(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     """n, t, n_end and t_end of the keys of all rows, and where the rows' keys are cut."""
     col = {c: rows.column(c).combine_chunks() for c in _COUNTS}
-    size = {c: pc.list_value_length(col[c]).to_numpy() for c in ("few_n", "at", "end_at")}
+    size = {c: pc.list_value_length(col[c]).to_numpy() for c in ("n_low", "at", "end_at")}
     flat = {c: x.flatten().to_numpy() for c, x in col.items()}
-    cut = np.append(0, np.cumsum(size["few_n"]))
-    out = [flat["few_n"].astype(np.int64), flat["few_t"].astype(np.int64), *(np.zeros(cut[-1], np.int64) for _ in range(2))]
+    cut = np.append(0, np.cumsum(size["n_low"]))
+    few = [flat[x + "_low"].view(np.uint8) | flat[x + "_high"].view(np.uint8).astype(np.int64) << 8 for x in "nt"]
+    out = [*few, *(np.zeros(cut[-1], np.int64) for _ in range(2))]
     for at, pair in (("at", ("n", "t")), ("end_at", ("n_end", "t_end"))):
         where = np.repeat(cut[:-1], size[at]) + flat[at]
         for x, c in zip(out[2 * (at == "end_at") :], pair):
