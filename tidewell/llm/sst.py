@@ -91,24 +91,24 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Encodings of pieces, each after a space."""
-        out, rest, known = {}, [], self.pieces.get
+        out, rest, known, word, marks, ends = {}, [], self.pieces.get, self._word, self.marks, self.ends
         for p in new:
-            stem, mark = (p[:-1], p[-1]) if p[-1:] in self.ends else (p, "")
+            stem, mark = (p[:-1], p[-1]) if p[-1:] in ends else (p, "")
             # letters, a mark after letters, and a line's end between such are token runs of their own for the pre-tokeniser
-            if stem.isalpha() and max(stem) < "\u0250":
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
                 code = known(stem) or out.get(stem)
                 if code is None:
-                    code = out[stem] = self._word("\u0120", stem)
+                    code = out[stem] = word("\u0120", stem)
                 if mark:
-                    out[p] = code + self.marks[mark]
+                    out[p] = code + marks[mark]
                 continue
             head, line, tail = stem.partition("\n")
-            end, letters = (head[-1], head[:-1]) if head[-1:] in self.ends else ("", head)
+            end, letters = (head[-1], head[:-1]) if head[-1:] in ends else ("", head)
             if line and tail.isalpha() and letters.isalpha() and max(letters + tail) < "\u0250":
                 code = known(letters) or out.get(letters)
                 if code is None:
-                    code = out[letters] = self._word("\u0120", letters)
-                out[p] = code + self.marks[end] + self.marks[line] + self._word("", tail) + self.marks[mark]
+                    code = out[letters] = word("\u0120", letters)
+                out[p] = code + marks[end] + marks[line] + word("", tail) + marks[mark]
             else:
                 rest.append(p)
         if rest:
@@ -124,13 +124,14 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Each text's token ids as little-endian 32-bit integers."""
         cut = [None if "  " in t else t.split(" ") for t in texts]
-        new = [p for p in dict.fromkeys(chain.from_iterable(c[1:] for c in cut if c)) if p not in self.pieces]
+        heads = [c and c.pop(0) for c in cut]  # no space stands before these
+        new = [p for p in dict.fromkeys(chain.from_iterable(filter(None, cut))) if p not in self.pieces]
         learnt = self._learn(new) if new else {}
         room = max(0, CACHE_PIECES - len(self.pieces))
         self.pieces.update(learnt if room >= len(learnt) else islice(learnt.items(), room))
         self.pieces.rest = learnt
         get = self.pieces.__getitem__
-        return [self._text(t) if c is None else self._text(c[0]) + b"".join(map(get, c[1:])) for t, c in zip(texts, cut)]
+        return [self._text(t) if c is None else self._text(h) + b"".join(map(get, c)) for t, h, c in zip(texts, heads, cut)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -319,7 +320,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
 
         for batch in batches:
             texts, all_ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for lo, hi in pieces_by_bytes(texts, 1_000_000):
+            for lo, hi in pieces_by_bytes(texts, 4_000_000):
                 ready = []
                 for doc_id, code in zip(all_ids[lo:hi], encoder.encode_all(texts[lo:hi])):
                     if held and doc_id != now:
