@@ -89,6 +89,13 @@ class Encoder:
             letters = letters.encode().decode("latin-1").translate(self.shown)
         return array("I", [t.id for t in self.model.tokenize(before + letters)]).tobytes()
 
+    def _head(self, p: str) -> bytes:
+        """A text's first piece, before which no space stands."""
+        stem, mark = (p[:-1], p[-1]) if p[-1:] in self.ends else (p, "")
+        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+            return self._word("", stem) + self.marks[mark]
+        return self._text(p)
+
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Encodings of pieces, each after a space."""
         out, rest, known, word, marks, ends = {}, [], self.pieces.get, self._word, self.marks, self.ends
@@ -131,7 +138,7 @@ class Encoder:
         self.pieces.update(learnt if room >= len(learnt) else islice(learnt.items(), room))
         self.pieces.rest = learnt
         get = self.pieces.__getitem__
-        return [self._text(t) if c is None else self._text(h) + b"".join(map(get, c)) for t, h, c in zip(texts, heads, cut)]
+        return [self._text(t) if c is None else self._head(h) + b"".join(map(get, c)) for t, h, c in zip(texts, heads, cut)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -222,11 +229,8 @@ class ShardWriter:
     def add(self, key: bytes, ids: np.ndarray):
         if self.first is None:
             self.first = key
-        same = 0
-        for a, b in zip(self.last, key):
-            if a != b:
-                break
-            same += 1
+        apart = int.from_bytes(self.last, "big") ^ int.from_bytes(key, "big")
+        same = len(key) - (apart.bit_length() + 7) // 8 if len(self.last) == len(key) else 0
         wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
         value = ids.astype("<u4" if wide else "<u2").tobytes()
         self.block += bytes((same, len(key) - same)) + key[same:] + _varint(len(ids) << 1 | wide) + value
