@@ -4,19 +4,24 @@ A write appends a batch to the log (Parquet, one folder per batch). Rows that no
 when they outgrow `memtable_max_bytes` they become a level-0 segment: one row per key, range-partitioned and sorted by
 key, with Parquet statistics and a Bloom filter on the key. A manifest version lists segments and the last flushed
 batch; it is written under a fresh name and published by an atomic rename, so a reader sees one version or the next.
-Files that no version needs go only in vacuum(). One writer at a time; any number of readers.
+Files that no version needs go only in vacuum(). One process writes at a time, from any number of threads: writes and
+flushes follow each other, compactions run beside them; any number of readers.
 
 Opening a store reads the latest manifest and takes the batches after it as memtable: that is recovery. Of a key's
-versions the greatest (ts, seq) wins wherever it lies.
+versions the greatest (ts, seq) wins wherever it lies; seq is (batch, row), and rows count on through the partitions
+of a batch, however many. A batch that comes from a stream carries the stream's name and its micro-batch number in its
+folder's name and, once flushed, in the manifest, so that a micro-batch that is sent again changes nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import threading
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import wait as ended
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import kv
 
-SCHEMA = "key BINARY, value BINARY, ts BIGINT, seq BIGINT, op STRING"
+SCHEMA = "key BINARY, value BINARY, ts BIGINT, seq STRUCT<batch: BIGINT, row: BIGINT>, op STRING"
 
 
 @dataclass
@@ -41,6 +46,7 @@ class Manifest:
     flushed_batch: int = 0
     last_ts: int = 0
     segments: list[dict] = field(default_factory=list)
+    streams: dict[str, int] = field(default_factory=dict)  # of each stream, the last micro-batch that is flushed
 
     def level(self, n: int) -> list[dict]:
         """Segments of a level in the order added; none for a level out of range."""
@@ -55,20 +61,33 @@ class Store:
         self._fs = self._hpath(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         for d in ("log", "segments", "manifest"):
             self._fs.mkdirs(self._hpath(f"{self.path}/{d}"))
+        self._writer, self._state = threading.RLock(), threading.RLock()  # appends and flushes; manifest and memtable
         self.manifest = self._load()
-        done = [b for b in self._batches() if b > self.manifest.flushed_batch]
-        self._next = max([self.manifest.flushed_batch, *self._batches()]) + 1
+        batches = self._batches()
+        done = {b: n for b, n in batches.items() if b > self.manifest.flushed_batch}
+        self._next = max([self.manifest.flushed_batch, *batches]) + 1
         self._pending = done
-        self._clock = max(self.manifest.last_ts, self._rows(done).agg(F.max("ts")).first()[0] or 0 if done else 0)
+        last, size = self._rows(done).agg(F.max("ts"), F.sum(kv.entry_bytes())).first() if done else (0, 0)
+        self._clock, self._size = max(self.manifest.last_ts, last or 0), size or 0
 
     # files
 
     def _names(self, folder: str) -> list[str]:
         return [s.getPath().getName() for s in self._fs.listStatus(self._hpath(f"{self.path}/{folder}"))]
 
-    def _batches(self) -> list[int]:
-        """Log batches whose write was committed."""
-        return sorted(int(n[6:]) for n in self._names("log") if n.startswith("batch=") and self._fs.exists(self._hpath(f"{self.path}/log/{n}/_SUCCESS")))
+    def _batches(self) -> dict[int, str]:
+        """Log batches whose write was committed: their folders by number."""
+        whole = (n for n in self._names("log") if n.startswith("batch=") and self._fs.exists(self._hpath(f"{self.path}/log/{n}/_SUCCESS")))
+        return {int(n[6:16]): n for n in sorted(whole)}
+
+    def _seen(self) -> dict[str, int]:
+        """Of each stream, the last micro-batch that the manifest or the memtable holds."""
+        seen = dict(self.manifest.streams)
+        for name in self._pending.values():
+            _, *source = name.split("~")
+            if source:
+                seen[source[0]] = max(seen.get(source[0], -1), int(source[1]))
+        return seen
 
     def _load(self) -> Manifest:
         found = sorted(n for n in self._names("manifest") if n.startswith("v"))
@@ -88,10 +107,10 @@ class Store:
             raise RuntimeError("another writer published this manifest version")
         self.manifest = new
 
-    def _rows(self, batches: list[int]) -> DataFrame:
+    def _rows(self, batches: dict[int, str]) -> DataFrame:
         if not batches:
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/log/batch={b:010d}" for b in batches))
+        return self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/log/{n}" for n in batches.values()))
 
     # writes
 
@@ -103,30 +122,39 @@ class Store:
         """Append deletions of (key), also of absent keys."""
         self.apply(keys.select("key", F.lit(None).cast("binary").alias("value"), F.lit(kv.DELETE).alias("op")))
 
-    def apply(self, rows: DataFrame, batch: int | None = None) -> None:
-        """Append a batch of (key, value, op[, ts]); a batch number that is already in the log is skipped (exactly once)."""
-        batch = self._next if batch is None else batch
-        if batch <= self.manifest.flushed_batch or batch in self._pending:
-            return
-        self._clock = max(self._clock + 1, int(time.time() * 1000))
-        ts = F.col("ts") if "ts" in rows.columns else F.lit(self._clock)
-        seq = F.lit(batch << 40).cast("bigint") + F.monotonically_increasing_id().bitwiseAND((1 << 40) - 1)
-        out = rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), ts.cast("bigint").alias("ts"), seq.alias("seq"), "op")
-        out.write.mode("overwrite").parquet(f"{self.path}/log/batch={batch:010d}")
-        self._pending.append(batch)
-        self._next = max(self._next, batch + 1)
-        size = kv.latest(self._rows(self._pending)).agg(F.sum(kv.entry_bytes())).first()[0] or 0
-        if size > self.config.memtable_max_bytes:
-            self.flush()
+    def apply(self, rows: DataFrame, source: tuple[str, int] | None = None) -> None:
+        """Append a batch of (key, value, op[, ts]); of a source (stream, micro-batch), what was applied before is skipped."""
+        with self._writer:
+            stream = hashlib.sha256(source[0].encode()).hexdigest()[:32] if source else None
+            if source and source[1] <= self._seen().get(stream, -1):
+                return
+            batch, self._next = self._next, self._next + 1
+            self._clock = max(self._clock + 1, int(time.time() * 1000))
+            ts = F.col("ts") if "ts" in rows.columns else F.lit(self._clock)
+            seq = F.struct(F.lit(batch).cast("bigint").alias("batch"), F.monotonically_increasing_id().alias("row"))
+            out = rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), ts.cast("bigint").alias("ts"), seq.alias("seq"), "op")
+            name = f"batch={batch:010d}" + (f"~{stream}~{source[1]}" if source else "")
+            out.write.mode("overwrite").parquet(f"{self.path}/log/{name}")
+            with self._state:
+                self._pending = {**self._pending, batch: name}
+            self._size += kv.latest(self._rows({batch: name})).agg(F.sum(kv.entry_bytes())).first()[0] or 0
+            if self._size > self.config.memtable_max_bytes:
+                # keys that several batches hold were counted in each: only now all of them are read
+                self._size = kv.latest(self._rows(self._pending)).agg(F.sum(kv.entry_bytes())).first()[0] or 0
+            if self._size > self.config.memtable_max_bytes:
+                self.flush()
 
     def flush(self) -> None:
         """Write the memtable as a level-0 segment."""
-        if not self._pending:
-            return
-        segment = self._write_segment(kv.latest(self._rows(self._pending)), 0)
-        new = Manifest(0, max(self._pending), max(self.manifest.last_ts, segment["max_ts"] or 0), [*self.manifest.segments, *([segment] if segment["n"] else [])])
-        self._publish(new)
-        self._pending = []
+        with self._writer:
+            if not self._pending:
+                return
+            segment = self._write_segment(kv.latest(self._rows(self._pending)), 0)
+            with self._state:
+                old = self.manifest
+                segments = [*old.segments, *([segment] if segment["n"] else [])]
+                self._publish(Manifest(0, max(self._pending), max(old.last_ts, segment["max_ts"] or 0), segments, self._seen()))
+                self._pending, self._size = {}, 0
 
     def _write_segment(self, rows: DataFrame, level: int) -> dict:
         name = uuid.uuid4().hex
@@ -143,8 +171,10 @@ class Store:
     def _runs(self, start: bytes | None, end: bytes | None, segments: list[dict] | None = None) -> list[DataFrame]:
         """Memtable and the segments whose key bounds meet [start, end)."""
         lo, hi = start.hex().upper() if start is not None else None, end.hex().upper() if end is not None else None
-        met = [s for s in (self.manifest.segments if segments is None else segments) if (lo is None or s["max_key"] >= lo) and (hi is None or s["min_key"] < hi)]
-        runs = [self._rows(self._pending)] if segments is None else []
+        with self._state:
+            held, pending = self.manifest.segments, self._pending
+        met = [s for s in (held if segments is None else segments) if (lo is None or s["max_key"] >= lo) and (hi is None or s["min_key"] < hi)]
+        runs = [self._rows(pending)] if segments is None else []
         if met:
             runs.append(self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/segments/{s['name']}" for s in met)))
         return [kv.between(r, start, end) for r in runs] or [self.spark.createDataFrame([], SCHEMA)]
@@ -169,29 +199,38 @@ class Store:
     # maintenance
 
     def compact(self, level: int, now_ms: int | None = None) -> None:
-        """Merge a level into the next. Expired deletions go only if no deeper level can hold an older version."""
+        """Merge a level into the next. Expired deletions go only if no deeper level can hold an older version.
+
+        What is flushed meanwhile stays: only the merged segments are taken out of the manifest as it is then.
+        """
         if level + 1 >= self.config.max_levels:
             raise ValueError(f"level {level} has no next level")
-        inputs = self.manifest.level(level)
+        with self._state:
+            inputs = self.manifest.level(level)
+            older = bool(self._pending) or any(s["level"] > level for s in self.manifest.segments)
         if not inputs:
             return
         now = int(time.time() * 1000) if now_ms is None else now_ms
-        older = [s for s in self.manifest.segments if s["level"] > level] + ([True] if self._pending else [])
         rows = kv.compact(self._runs(None, None, inputs), now, self.config.tombstone_retention_ms, not older)
         made = self._write_segment(rows, level + 1)
         names = {s["name"] for s in inputs}
-        rest = [s for s in self.manifest.segments if s["name"] not in names]
-        self._publish(Manifest(0, self.manifest.flushed_batch, self.manifest.last_ts, rest + ([made] if made["n"] else [])))
+        with self._state:
+            old = self.manifest
+            rest = [s for s in old.segments if s["name"] not in names]
+            self._publish(Manifest(0, old.flushed_batch, old.last_ts, rest + ([made] if made["n"] else []), old.streams))
 
     def vacuum(self) -> None:
-        """Delete segments that the current manifest does not list, flushed log batches, and older manifests."""
+        """Delete segments that the current manifest does not list, flushed log batches, and older manifests.
+
+        No compaction may run meanwhile: its segment is listed only at its end.
+        """
         keep = {s["name"] for s in self.manifest.segments}
         for n in self._names("segments"):
             if n not in keep:
                 self._fs.delete(self._hpath(f"{self.path}/segments/{n}"), True)
-        for b in self._batches():
+        for b, name in self._batches().items():
             if b <= self.manifest.flushed_batch:
-                self._fs.delete(self._hpath(f"{self.path}/log/batch={b:010d}"), True)
+                self._fs.delete(self._hpath(f"{self.path}/log/{name}"), True)
         for n in sorted(self._names("manifest"))[:-1]:
             self._fs.delete(self._hpath(f"{self.path}/manifest/{n}"), True)
 
@@ -211,7 +250,7 @@ class Compactor:
 
     def __init__(self, store: Store, workers: int = 1):
         self.store, self.jobs = store, {}
-        self._pool, self._commit = ThreadPoolExecutor(workers), threading.Lock()
+        self._pool = ThreadPoolExecutor(workers)
         self._levels = {n: threading.Lock() for n in range(store.config.max_levels)}
         self._done: dict = {}
 
@@ -224,7 +263,7 @@ class Compactor:
         return job.job_id
 
     def _run(self, job: Job) -> None:
-        with self._levels[job.level], self._commit:  # one writer of the manifest
+        with self._levels[job.level]:
             job.status, job.started_at = "running", time.time()
             try:
                 self.store.compact(job.level)
@@ -249,8 +288,10 @@ class Compactor:
     def pending(self) -> list[Job]:
         return [j for j in self.jobs.values() if j.status in ("pending", "running")]
 
-    def close(self) -> None:
-        self._pool.shutdown(wait=True)
+    def close(self, timeout: float = 5.0) -> bool:
+        """Take no more jobs, drop those that have not begun, and wait for the others; whether they ended in time."""
+        self._pool.shutdown(wait=False, cancel_futures=True)
+        return not ended(self._done.values(), timeout).not_done
 
 
 def row_numbers(rows: DataFrame, order: list[str]) -> DataFrame:

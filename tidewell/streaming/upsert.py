@@ -22,11 +22,14 @@ def window_ops(stream: DataFrame, ts: str, width: str, late: str, op: str) -> Da
 
 
 def into_store(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """Write a stream of (key, value, op[, ts]) into a store, each micro-batch once, all that is available."""
-    first = store._next
+    """Write a stream of (key, value, op[, ts]) into a store, each micro-batch once, all that is available.
+
+    The checkpoint names the stream: a micro-batch that a restart sends again is skipped, and other writes between
+    micro-batches take nothing from it.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.apply(batch, first + batch_id)
+        store.apply(batch, (checkpoint, batch_id))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
