@@ -59,6 +59,11 @@ def kv_get_with_meta(spark, d):
     return kv.latest(log(spark, d))
 
 
+@query(f"WITH {LATEST} SELECT key, value, ts, seq, op FROM latest WHERE key = 3")
+def kv_get_with_meta_point(spark, d):
+    return kv.get_with_meta(log(spark, d), 3)
+
+
 @query(f"WITH {LATEST} SELECT key, value, ts, seq, op FROM latest WHERE op = 'PUT' AND key >= 10 AND key < 60")
 def kv_range_scan(spark, d):
     return kv.range_scan(log(spark, d), 10, 60)
@@ -252,6 +257,19 @@ def wal_roundtrip_crc(spark, d):
     return rows.select("event_id", (F.octet_length("body") + 4).cast("bigint").alias("frame_bytes"), key.cast("string").alias("key"), F.substr("body", 13 + klen + 8, F.octet_length("body") - 29 - klen).cast("string").alias("value"))
 
 
+@query("SELECT event_id AS ts, user_id::VARCHAR AS key, CASE WHEN event_type <> 'error' THEN event_type END AS value, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS op FROM events")
+def wal_files_roundtrip(spark, d):
+    """The events as log files, one a task, written and read again."""
+    from tidewell.sources import frames
+
+    frames.register(spark)
+    op = F.when(F.col("event_type") == "error", kv.DELETE).otherwise(kv.PUT)
+    rows = _t(spark, d, "events").select(F.col("user_id").cast("string").cast("binary").alias("key"), F.col("event_type").cast("binary").alias("value"), F.col("event_id").alias("ts"), op.alias("op"))
+    path = new_path(spark, "wal")
+    rows.write.format("wal").mode("append").save(path)
+    return frames.read_log(spark, path).select("ts", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "op")
+
+
 @query("SELECT user_id AS key, count(*) AS frames FROM events GROUP BY 1")
 def wal_truncated_tail(spark, d):
     """Frames read back from files with a torn last frame: one file per user, the tear is ignored."""
@@ -740,6 +758,15 @@ def graph_sssp(spark, d):
     return graphs.shortest_distances(_edges(spark, d), 0).select("node", "dist")
 
 
+@query(
+    f"WITH RECURSIVE {_EDGES}, r AS (SELECT 0::BIGINT AS node, 0::BIGINT AS dist, [0::BIGINT] AS path UNION ALL"
+    " SELECT node, b.dist, b.path FROM (SELECT dst AS node, min({'dist': (dist + weight)::BIGINT, 'path': list_append(path, dst)}) AS b FROM r JOIN e ON src = node WHERE len(path) < 25 GROUP BY dst)),"
+    " m AS (SELECT node, min({'dist': dist, 'n': len(path), 'path': path}) AS b FROM r GROUP BY 1) SELECT node, array_to_string(b.path, ' ') AS path FROM m"
+)
+def graph_shortest_paths(spark, d):
+    return graphs.shortest_distances(_edges(spark, d), 0).select("node", F.array_join("path", " ").alias("path"))
+
+
 @query(
     f"WITH {_EDGES}, p AS (SELECT o_orderkey AS path_id, o_orderkey % 25 AS a, (o_orderkey % 25 + 1) AS b, (o_orderkey % 25 + 7) AS c FROM orders)"
     " SELECT path_id, EXISTS (SELECT 1 FROM e WHERE src = a AND dst = b) AND EXISTS (SELECT 1 FROM e WHERE src = b AND dst = c) AS valid FROM p"
@@ -834,6 +861,32 @@ def store_write_compact_read(spark, d):
     return store.range().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
+def _part_store(spark, d):
+    """The parts in a store: all put and flushed, those above 25 deleted, those of size 50 put again; opened anew."""
+    from tidewell.operators.store import Store
+
+    part, path = _t(spark, d, "part").withColumn("key", F.col("p_partkey").cast("string").cast("binary")), new_path(spark, "parts")
+    store = Store(spark, path)
+    store.put(part.select("key", F.col("p_name").cast("binary").alias("value")))
+    store.flush()
+    store.delete(part.where("p_size > 25").select("key"))
+    store.put(part.where("p_size = 50").select("key", F.col("p_brand").cast("binary").alias("value")))
+    return Store(spark, path)
+
+
+_PARTS = "SELECT p_partkey::VARCHAR AS key, CASE WHEN p_size = 50 THEN p_brand ELSE p_name END AS value FROM part WHERE (p_size <= 25 OR p_size = 50)"
+
+
+@query(_PARTS)
+def store_delete_recover(spark, d):
+    return _part_store(spark, d).range().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query(_PARTS + " AND p_partkey = 7")
+def store_get_point(spark, d):
+    return _part_store(spark, d).get(b"7").select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
 @query("SELECT n_name AS name, '<html><body><h1>' || n_name || '</h1><p>nation' || n_nationkey || '@example.org</p><h2>Education</h2><h2>Experience</h2></body></html>' AS html FROM nation")
 def resume_render(spark, d):
     from tidewell.sources import documents

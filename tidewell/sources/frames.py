@@ -3,8 +3,8 @@
 A log frame is magic, key length, key, value length, value, ts, op and a CRC-32 of all before it; a segment record is
 key length, key, value length, value, ts, in key order. Fields are little-endian, lengths and ts 8 bytes. A file is
 never split. Reading a log stops quietly at a truncated last frame and raises at a bad magic or CRC (option
-`permissive`: stops there too). Files are read through Spark's binaryFile source, so any file system serves; writing
-goes to folders that the executors share.
+`permissive`: stops there too). Files are read through Spark's binaryFile source; a path to write to names its file
+system (file, hdfs, s3, gs), a plain path is a folder that driver and executors share.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -111,13 +112,18 @@ class _FrameWriter(DataSourceWriter):
     """One file per task under a hidden name, shown on commit."""
 
     def __init__(self, path: str, segment: bool):
-        self.path, self.segment = path.removeprefix("file://"), segment
+        self.path, self.segment = path, segment
+
+    def _folder(self) -> tuple[FileSystem, str]:
+        uri = self.path if "://" in self.path else "file://" + os.path.abspath(self.path.removeprefix("file:"))
+        return FileSystem.from_uri(uri)
 
     def write(self, rows) -> _Wrote:
-        os.makedirs(self.path, exist_ok=True)
-        hidden = os.path.join(self.path, f".{uuid.uuid4().hex}")
+        files, folder = self._folder()
+        files.create_dir(folder, recursive=True)
+        hidden = f"{folder}/.{uuid.uuid4().hex}"
         last = None
-        with open(hidden, "wb") as out:
+        with files.open_output_stream(hidden) as out:
             for r in rows:
                 key = bytes(r["key"])
                 value = None if r["value"] is None else bytes(r["value"])
@@ -128,18 +134,21 @@ class _FrameWriter(DataSourceWriter):
                     out.write(encode_record(key, value, r["ts"]))
                 else:
                     out.write(encode_frame(key, value, r["ts"], r["op"]))
-            out.flush()
-            os.fsync(out.fileno())
+        if isinstance(files, LocalFileSystem):  # others are durable once closed
+            with open(hidden, "rb") as written:
+                os.fsync(written.fileno())
         return _Wrote(hidden)
 
     def commit(self, messages) -> None:
+        files, folder = self._folder()
         for k, m in enumerate(m for m in messages if m):
-            os.replace(m.path, os.path.join(self.path, f"part-{k:05d}-{os.path.basename(m.path)[1:9]}.bin"))
+            files.move(m.path, f"{folder}/part-{k:05d}-{os.path.basename(m.path)[1:9]}.bin")
 
     def abort(self, messages) -> None:
+        files, _ = self._folder()
         for m in messages:
-            if m and os.path.exists(m.path):
-                os.remove(m.path)
+            if m and files.get_file_info(m.path).type != FileType.NotFound:
+                files.delete_file(m.path)
 
 
 class LogSource(DataSource):
