@@ -7,11 +7,16 @@ by one with the wrapper so far; what only one side has becomes an optional group
 Slots inside the article and outside menus, headers, footers, sidebars, notices, adverts, forms and comments are main
 slots, and a page's main text is what it has in them.
 
+On pages that name no article (no article, main or role=main) the wrapper tells template from data: a text that every
+such page of the host with that slot has there is template, no data, and goes; a slot must occur on `MIN_PAGES`
+different pages (told apart by 64 buckets of their hashes, so never too early). Pages that name their article keep all
+of it, also what the host's pages share: an article may be printed again.
+
 Only distinct folded streams take part (most pages of a host share a few), dealt to groups of at most `FAN` whose
 wrappers are aligned with each other level by level, so no host is one task however many pages it has.
 
-Blocks end at block-level tags; <br> is white space. Null and empty html give an empty text. Pages without article,
-main or role=main have the whole body as their article. Broken markup is read as far as it goes. A url without a host
+Blocks end at block-level tags; <br> is white space. Null and empty html give an empty text. Pages that name no
+article have the whole body as theirs, less the template. Broken markup is read as far as it goes. A url without a host
 belongs to the host "". Repeated rows give repeated results. Extra columns are ignored.
 """
 
@@ -22,12 +27,14 @@ import json
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize
 
-FAN, MAX_UNIT = 64, 24
+FAN, MAX_UNIT, MIN_PAGES = 64, 24, 4
+_SCOPE = r"<(?:article|main)\b|role\s*=\s*[\"']?main\b"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|iframe|textarea|title|svg|object|canvas|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
@@ -51,10 +58,15 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
+def _scoped(page: str) -> bool:
+    """Whether a page names its article."""
+    return re.search(_SCOPE, page, re.I) is not None
+
+
 def tokens(page: str) -> tuple[list[str], list[str], list[bool]]:
     """Skeleton (tags, `#` for main text, `%` for other text), the texts of its slots, and which tokens end a block."""
     skeleton, texts, ends = [], [], []
-    open_, scoped = [], bool(re.search(r"<(?:article|main)\b|role\s*=\s*[\"']?main\b", page, re.I))
+    open_, scoped = [], _scoped(page)
     dropped = inside = 0
     for m in _TOKEN.finditer(page):
         t = m[0]
@@ -224,26 +236,31 @@ def expression(wrapper: list) -> str:
     return " ".join(x if isinstance(x, str) else f"({expression(x[1])}){x[0]}" for x in wrapper)
 
 
+def placed(wrapper: list, folded: list) -> tuple[list, list[int]]:
+    """A folded stream's nodes as the wrapper has them, and their places in it."""
+    out, place = align(wrapper, folded)
+    return [_core(out[p]) for p in place], place
+
+
 def aligned(wrapper: list, folded: list) -> list:
     """A folded stream's nodes as the wrapper has them."""
-    out, place = align(wrapper, folded)
-    return [_core(out[p]) for p in place]
+    return placed(wrapper, folded)[0]
 
 
-def _fits(nodes: list, skeleton: list[str], at: int, slots: list[bool]) -> int:
-    """Where the tokens that nodes match from `at` on end (-1: they don't); whether each of their slots is a main one."""
-    for node in nodes:
+def _fits(nodes: list, skeleton: list[str], at: int, slots: list, path: tuple = ()) -> int:
+    """Where the tokens that nodes match from `at` on end (-1: they don't); of each of their slots, its token and path."""
+    for k, node in enumerate(nodes):
         if isinstance(node, str):
             if at >= len(skeleton) or skeleton[at] != node:
                 return -1
             if node in "#%":
-                slots.append(node == "#")
+                slots.append((node, (*path, k)))
             at += 1
             continue
         found = 0
         while True:
             n = len(slots)
-            nxt = _fits(node[1], skeleton, at, slots)
+            nxt = _fits(node[1], skeleton, at, slots, (*path, k))
             if nxt <= at:
                 del slots[n:]
                 break
@@ -255,12 +272,25 @@ def _fits(nodes: list, skeleton: list[str], at: int, slots: list[bool]) -> int:
 
 def main_slots(nodes: list, skeleton: list[str]) -> list[bool]:
     """Whether each text of a page is in a main slot of its wrapper; by the page alone where its groups don't line up."""
-    slots: list[bool] = []
+    slots: list = []
     if _fits(nodes, skeleton, 0, slots) == len(skeleton):
-        return slots
+        return [t == "#" for t, _ in slots]
     return [t == "#" for t in skeleton if t in "#%"]
 
 
+def _names(nodes: list, place: list[int], skeleton: list[str], texts: list[str]) -> list[tuple[int, int] | None]:
+    """Of each text its slot of the wrapper and its content, hashed; None where it is blank or the groups don't line up."""
+    slots: list = []
+    if _fits(nodes, skeleton, 0, slots) != len(skeleton):
+        return [None] * len(texts)
+    out: list = []
+    for (kind, (top, *rest)), text in zip(slots, texts):
+        flat = " ".join(_html.unescape(text).split())
+        slot = xxhash.xxh3_64_intdigest(repr((kind, place[top], rest)).encode()) >> 1
+        out.append((slot, xxhash.xxh3_64_intdigest(flat.encode("utf-8", "surrogatepass")) >> 1) if flat else None)
+    return out
+
+
 def main_text(skeleton: list[str], texts: list[str], ends: list[bool], slots: list[bool]) -> str:
     """Texts of the main slots of a page, by blocks."""
     blocks, now, k = [], [], 0
@@ -313,27 +343,73 @@ def wrappers(pages: DataFrame) -> DataFrame:
         turn += 1
 
 
+class _Aligner:
+    """Places of folded streams in their wrappers, each pair aligned once."""
+
+    def __init__(self, most: int = 5000):
+        self.known, self.most = {}, most
+
+    def __call__(self, wrapper: str, skeleton: list[str]) -> tuple[list, list[int]]:
+        folded = fold(skeleton)
+        at = (wrapper, json.dumps(folded))
+        if at not in self.known:
+            if len(self.known) > self.most:
+                self.known.clear()
+            self.known[at] = placed(json.loads(wrapper), folded)
+        return self.known[at]
+
+
+def template(rows: DataFrame) -> DataFrame:
+    """(host, template): texts by slot that all pages with the slot share, for pages (host, html, wrapper) without a named article."""
+
+    def run(batches):
+        place = _Aligner()
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                hosts, slots, texts, pages = [], [], [], []
+                for host, page, wrapper in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns)):
+                    skeleton, parts, _ = tokens(page)
+                    found = {x for x in _names(*place(wrapper, skeleton), skeleton, parts) if x}
+                    found |= {(slot, None) for slot, _ in found}  # counts the pages that have the slot
+                    bucket = 1 << xxhash.xxh3_64_intdigest(page.encode("utf-8", "surrogatepass")) % 64
+                    for slot, text in found:
+                        hosts.append(host)
+                        slots.append(slot)
+                        texts.append(text)
+                        pages.append(bucket - (1 << 64) if bucket >> 63 else bucket)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (slots, texts, pages))], ["host", "slot", "text", "pages"])
+
+    each = rows.select("host", "html", "wrapper").mapInArrow(run, "host string, slot long, text long, pages long")
+    counts = materialize(each.groupBy("host", "slot", "text").agg(F.count("*").alias("n"), F.bit_or("pages").alias("pages")).where(F.bit_count("pages") >= MIN_PAGES), "texts")
+    slots = counts.where("text IS NULL").select(F.col("host").alias("h"), F.col("slot").alias("s"), F.col("n").alias("all"))
+    same = counts.where("text IS NOT NULL").join(slots, (F.col("host") == F.col("h")) & (F.col("slot") == F.col("s")) & (F.col("n") == F.col("all")))
+    # every one of these is on each page that has its slot, so a host has no more than its wrapper's slots hold
+    return same.groupBy("host").agg(F.collect_set(F.struct("slot", "text")).alias("template"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page, through its host's wrapper."""
     found = wrappers(pages).select(F.col("host").alias("h"), "wrapper")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of("url").alias("host"))
-    rows = rows.join(found, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "wrapper")
+    free = rows.where(~F.col("html").rlike("(?i)" + _SCOPE)).join(found, F.col("host") == F.col("h"))
+    shared = materialize(template(free), "template")
+    found = found.join(shared.withColumnRenamed("host", "_h"), F.col("h") == F.col("_h"), "left").select("h", "wrapper", "template")
+    rows = rows.join(found, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "wrapper", "template")
 
     def run(batches):
-        known: dict[tuple[str, str], list] = {}
+        place = _Aligner()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 s = b.slice(lo, 256)
                 texts = []
-                for page, wrapper in zip(s.column(2).to_pylist(), s.column(3).to_pylist()):
+                for page, wrapper, shared in zip(*(s.column(k).to_pylist() for k in (2, 3, 4))):
                     skeleton, parts, ends = tokens(page)
-                    folded = fold(skeleton)
-                    at = (wrapper, json.dumps(folded))
-                    if at not in known:
-                        if len(known) > 5000:
-                            known.clear()
-                        known[at] = aligned(json.loads(wrapper), folded)
-                    texts.append(main_text(skeleton, parts, ends, main_slots(known[at], skeleton)))
+                    nodes, places = place(wrapper, skeleton)
+                    slots = main_slots(nodes, skeleton)
+                    if shared and not _scoped(page):
+                        constant = {(x["slot"], x["text"]) for x in shared}
+                        slots = [k and name not in constant for k, name in zip(slots, _names(nodes, places, skeleton, parts))]
+                    texts.append(main_text(skeleton, parts, ends, slots))
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
