@@ -393,7 +393,8 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of("url").alias("host"))
     free = rows.where(~F.col("html").rlike("(?i)" + _SCOPE)).join(found, F.col("host") == F.col("h"))
     shared = materialize(template(free), "template")
-    found = found.join(shared.withColumnRenamed("host", "_h"), F.col("h") == F.col("_h"), "left").select("h", "wrapper", "template")
+    # a table of its own, whose size the planner knows: a row per host
+    found = materialize(found.join(shared.withColumnRenamed("host", "_h"), F.col("h") == F.col("_h"), "left").select("h", "wrapper", "template"), "found")
     rows = rows.join(found, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "wrapper", "template")
 
     def run(batches):
