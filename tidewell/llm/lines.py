@@ -128,7 +128,9 @@ def letters(line: Column) -> list[Column]:
 def candidates(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, max_broadcast: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of ids that share a segment and about as many of each letter, and (id, node, line) of these ids."""
     long = lines_of(docs).where(F.length("line") >= (min_chars + 1) // 2).select("line", _node(F.col("line")).alias("node"))
-    distinct = long.groupBy("node").agg(F.first("line").alias("line")).select(_id(F.col("node")).alias("id"), F.explode(line_keys(F.length("line"), F.col("line"), tau, min_chars)).alias("k"))
+    # the length is a column of its own: inside the keys it would be counted anew for each of them
+    distinct = long.groupBy("node").agg(F.first("line").alias("line")).select("node", "line", F.length("line").alias("n"))
+    distinct = distinct.select(_id(F.col("node")).alias("id"), F.explode(line_keys(F.col("n"), F.col("line"), tau, min_chars)).alias("k"))
     # two numbers a row: the key, and the line's id with, in the last bit, whether it indexes the key
     each = distinct.select("k.key", F.shiftleft("id", 1).bitwiseOR(F.col("k.own").cast("bigint")).alias("v"))
     # keys that one line alone has are dropped in the pass that brings a key's rows together
