@@ -33,7 +33,7 @@ def test_large_trees(spark):
     assert [got[2, s].pre for s in pre] == [got[2, s].post for s in post] == list(range(len(mixed)))
 
 
-@pytest.mark.parametrize("name", ["shape", "preorder", "postorder"])
+@pytest.mark.parametrize("name", ["shape", "height", "width", "preorder", "postorder", "flatten"])
 def test_nulls_as_in_sql(spark, tmp_path, name):
     some = random.Random(2)
     rows = [(s, some.choice([None, 1, 2]), some.choice([None, 0.0, -0.0, 1.5, 2.5, 3.5])) for s in range(60)]

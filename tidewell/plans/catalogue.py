@@ -640,8 +640,7 @@ def bst_postorder(spark, d):
 @query(f"WITH {_NODES} SELECT tree, string_agg(seq::VARCHAR, ',' ORDER BY pre) AS flat_pre, string_agg(seq::VARCHAR, ',' ORDER BY post) AS flat_post FROM s GROUP BY 1")
 def bst_flatten(spark, d):
     s = trees.shape(_insertions(spark, d)).select("tree", F.col("seq").cast("string").alias("value"), "pre", "post")
-    a, b = (trees.flatten(s, o).select("tree", F.array_join("values", ",").alias(f"flat_{o}")) for o in ("pre", "post"))
-    return a.join(b, "tree")
+    return trees.flatten_all(s, "pre", "post").select("tree", *(F.array_join(o, ",").alias(f"flat_{o}") for o in ("pre", "post")))
 
 
 # A second name of each, from when the first ones read 30 events of a user.
