@@ -51,3 +51,21 @@ def test_segment_source(spark, tmp_path):
     assert [r.ts for r in got] == [1, 127]
     with pytest.raises(Exception, match="must increase"):
         df.sortWithinPartitions("ts", ascending=False).write.format("segment").mode("append").save(str(tmp_path / "bad"))
+
+
+def test_log_files_and_batches_are_bounded(spark, tmp_path):
+    """Before: a task's log was one file, decoded into one batch."""
+    frames.register(spark)
+    rows = [(str(k).encode(), b"v" * (k % 90), k, "PUT" if k % 7 else "DELETE") for k in range(3000)]
+    df = spark.createDataFrame(rows, "key BINARY, value BINARY, ts BIGINT, op STRING").coalesce(1)
+    df.write.format("wal").mode("append").option("fileBytes", 20_000).save(str(tmp_path / "log"))
+    sizes = [p.stat().st_size for p in (tmp_path / "log").glob("part-*.bin")]
+    assert len(sizes) > 5 and max(sizes) < 20_200 and not list((tmp_path / "log").glob(".*[!c]"))
+    got = frames.read_log(spark, str(tmp_path / "log")).collect()
+    assert sorted((r.ts, bytes(r.key), r.op) for r in got) == [(t, k, op) for k, _, t, op in rows]
+    assert all(r.value == (None if r.op == "DELETE" else b"v" * (r.ts % 90)) for r in got)
+    df.limit(0).write.format("wal").mode("append").save(str(tmp_path / "none"))
+    assert frames.read_log(spark, str(tmp_path / "none")).count() == 0
+    some = list(frames._some(frames.decode_frames(log(ROWS * 5000))))
+    assert max(map(len, some)) <= frames.BATCH_ROWS and max(sum(len(r[2] or b"") for r in x) for x in some) < frames.BATCH_BYTES + 10_001
+    assert [r[1:] for x in some for r in x] == ROWS * 5000

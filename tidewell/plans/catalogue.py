@@ -252,7 +252,7 @@ def wal_roundtrip_crc(spark, d):
 
 @query("SELECT event_id AS ts, user_id::VARCHAR AS key, CASE WHEN event_type <> 'error' THEN event_type END AS value, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS op FROM events")
 def wal_files_roundtrip(spark, d):
-    """The events as log files, one a task, written and read again."""
+    """The events as log files, one or more a task, written and read again."""
     from tidewell.sources import frames
 
     frames.register(spark)

@@ -2,7 +2,7 @@
 
 A log frame is magic, key length, key, value length, value, ts, op and a CRC-32 of all before it; a segment record is
 key length, key, value length, value, ts, in key order. Fields are little-endian, lengths and ts 8 bytes. A file is
-never split. Reading a log stops quietly at a truncated last frame and raises at a bad magic or CRC (option
+never split; a task that writes a log starts a new file after LOG_BYTES (option `fileBytes`), a segment is one file. Reading a log stops quietly at a truncated last frame and raises at a bad magic or CRC (option
 `permissive`: stops there too). Files are read through Spark's binaryFile source; a path to write to names its file
 system (file, hdfs, s3, gs), a plain path is a folder that driver and executors share.
 """
@@ -23,6 +23,10 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 MAGIC = b"TWLG"
 SCHEMA = "seq BIGINT, key BINARY, value BINARY, ts BIGINT, op STRING"
+#: A log file ends with the first frame that makes it longer.
+LOG_BYTES = 64_000_000
+#: Rows, and bytes of keys and values, that a batch of decoded frames is sent on with.
+BATCH_ROWS, BATCH_BYTES = 8192, 8_000_000
 _U64 = struct.Struct("<Q")
 
 
@@ -32,7 +36,7 @@ def encode_frame(key: bytes, value: bytes | None, ts: int, op: str) -> bytes:
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def decode_frames(data: bytes, permissive: bool = False) -> Iterator[tuple[int, bytes, bytes | None, int, str]]:
+def decode_frames(data: bytes | bytearray | memoryview, permissive: bool = False) -> Iterator[tuple[int, bytes, bytes | None, int, str]]:
     """(seq, key, value, ts, op) of each whole frame, in the order written; the op alone says what is deleted."""
     at, seq = 0, 0
     while True:
@@ -55,7 +59,7 @@ def decode_frames(data: bytes, permissive: bool = False) -> Iterator[tuple[int,
             raise ValueError(f"CRC mismatch in the frame at byte {at}")
         seq += 1
         deleted = data[p + 8] == 1
-        yield seq, data[slice(*ends[0])], None if deleted else data[slice(*ends[1])], _U64.unpack_from(data, p)[0], "DELETE" if deleted else "PUT"
+        yield seq, bytes(data[slice(*ends[0])]), None if deleted else bytes(data[slice(*ends[1])]), _U64.unpack_from(data, p)[0], "DELETE" if deleted else "PUT"
         at = p + 13
 
 
@@ -75,16 +79,30 @@ def decode_records(data: bytes) -> Iterator[tuple[bytes, bytes, int]]:
         at += 8
 
 
+def _some(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """rows (seq, key, value, ts, op) in lists of bounded length and size."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[1]) + len(r[2] or b"")
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def read_log(spark: SparkSession, path: str, permissive: bool = False) -> DataFrame:
     """Frames of every log file under a path: (seq, key, value, ts, op, file); seq counts within a file."""
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = [(*r, name) for r in decode_frames(content.as_buffer().to_pybytes(), permissive)]
-                cols = list(zip(*rows)) if rows else [[]] * 6
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["seq", "key", "value", "ts", "op", "file"])
+                with memoryview(content.as_buffer()) as data:
+                    for rows in _some(decode_frames(data, permissive)):
+                        cols = [*zip(*rows), [name] * len(rows)]
+                        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["seq", "key", "value", "ts", "op", "file"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, SCHEMA + ", file STRING")
@@ -105,14 +123,14 @@ def read_segment(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass
 class _Wrote(WriterCommitMessage):
-    path: str
+    paths: list[str]
 
 
 class _FrameWriter(DataSourceWriter):
-    """One file per task under a hidden name, shown on commit."""
+    """Files of a task under hidden names, shown on commit: one, or of a log one per file_bytes."""
 
-    def __init__(self, path: str, segment: bool):
-        self.path, self.segment = path, segment
+    def __init__(self, path: str, segment: bool, file_bytes: int = LOG_BYTES):
+        self.path, self.segment, self.file_bytes = path, segment, file_bytes
 
     def _folder(self) -> tuple[FileSystem, str]:
         uri = self.path if "://" in self.path else "file://" + os.path.abspath(self.path.removeprefix("file:"))
@@ -121,34 +139,40 @@ class _FrameWriter(DataSourceWriter):
     def write(self, rows) -> _Wrote:
         files, folder = self._folder()
         files.create_dir(folder, recursive=True)
-        hidden = f"{folder}/.{uuid.uuid4().hex}"
-        last = None
-        with files.open_output_stream(hidden) as out:
-            for r in rows:
-                key = bytes(r["key"])
-                value = None if r["value"] is None else bytes(r["value"])
-                if self.segment:
-                    if last is not None and key <= last:
-                        raise ValueError("a segment's keys must increase")
-                    last = key
-                    out.write(encode_record(key, value, r["ts"]))
-                else:
-                    out.write(encode_frame(key, value, r["ts"], r["op"]))
-        if isinstance(files, LocalFileSystem):  # others are durable once closed
-            with open(hidden, "rb") as written:
-                os.fsync(written.fileno())
+        hidden, last, more = [], None, True
+        rows = iter(rows)
+        while more:
+            hidden.append(f"{folder}/.{uuid.uuid4().hex}")
+            size, more = 0, False
+            with files.open_output_stream(hidden[-1]) as out:
+                for r in rows:
+                    key = bytes(r["key"])
+                    value = None if r["value"] is None else bytes(r["value"])
+                    if self.segment:
+                        if last is not None and key <= last:
+                            raise ValueError("a segment's keys must increase")
+                        last = key
+                        out.write(encode_record(key, value, r["ts"]))
+                    else:
+                        size += out.write(encode_frame(key, value, r["ts"], r["op"]))
+                        if size >= self.file_bytes:
+                            more = True
+                            break
+            if isinstance(files, LocalFileSystem):  # others are durable once closed
+                with open(hidden[-1], "rb") as written:
+                    os.fsync(written.fileno())
         return _Wrote(hidden)
 
     def commit(self, messages) -> None:
         files, folder = self._folder()
-        for k, m in enumerate(m for m in messages if m):
-            files.move(m.path, f"{folder}/part-{k:05d}-{os.path.basename(m.path)[1:9]}.bin")
+        for k, hidden in enumerate(p for m in messages if m for p in m.paths):
+            files.move(hidden, f"{folder}/part-{k:05d}-{os.path.basename(hidden)[1:9]}.bin")
 
     def abort(self, messages) -> None:
         files, _ = self._folder()
-        for m in messages:
-            if m and files.get_file_info(m.path).type != FileType.NotFound:
-                files.delete_file(m.path)
+        for hidden in (p for m in messages if m for p in m.paths):
+            if files.get_file_info(hidden).type != FileType.NotFound:
+                files.delete_file(hidden)
 
 
 class LogSource(DataSource):
@@ -162,7 +186,7 @@ class LogSource(DataSource):
         return SCHEMA
 
     def writer(self, schema, overwrite: bool):
-        return _FrameWriter(self.options["path"], False)
+        return _FrameWriter(self.options["path"], False, int(self.options.get("fileBytes", LOG_BYTES)))
 
 
 class SegmentSource(DataSource):
