@@ -69,3 +69,15 @@ def test_log_files_and_batches_are_bounded(spark, tmp_path):
     some = list(frames._some(frames.decode_frames(log(ROWS * 5000))))
     assert max(map(len, some)) <= frames.BATCH_ROWS and max(sum(len(r[2] or b"") for r in x) for x in some) < frames.BATCH_BYTES + 10_001
     assert [r[1:] for x in some for r in x] == ROWS * 5000
+
+
+def test_torn_logs_are_streamed(spark, tmp_path):
+    """Before: all frames of a batch of users were Python objects at once, and a null user failed."""
+    from tidewell.plans import catalogue
+
+    rows = [(k, None if k % 5 == 0 else k % 3, None if k % 4 == 0 else "view") for k in range(400)]
+    spark.createDataFrame(rows, "event_id BIGINT, user_id BIGINT, event_type STRING").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.QUERIES["wal_truncated_tail"](spark, str(tmp_path))
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    want = [(u, sum(r[1] == u for r in rows)) for u in (None, 0, 1, 2)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)

@@ -270,17 +270,33 @@ def wal_truncated_tail(spark, d):
 
     from tidewell.sources.frames import decode_frames, encode_frame
 
-    joined = _frames(spark, d).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("rows"))
+    rows = _frames(spark, d).select("key", "event_id", "value").repartition("key").sortWithinPartitions("key", "event_id", "value")
 
     def run(batches):
+        now, data, began = None, bytearray(), False
+
+        def whole():
+            data.extend(encode_frame(now or b"", b"torn", 0, "PUT")[:-3])
+            with memoryview(data) as file:
+                return None if now is None else int(now), sum(1 for _ in decode_frames(file))
+
+        def batch(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["key", "frames"])
+
         for b in batches:
             out = []
-            for key, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = b"".join(encode_frame(key, r["value"], r["event_id"], "PUT") for r in rows)
-                out.append((int(key), sum(1 for _ in decode_frames(data + encode_frame(key, b"torn", 0, "PUT")[:-3]))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[], []])], ["key", "frames"])
-
-    return joined.mapInArrow(run, "key long, frames long")
+            for key, ts, value in zip(*(c.to_pylist() for c in b.columns)):
+                if began and key != now:
+                    out.append(whole())
+                    data = bytearray()
+                now, began = key, True
+                data += encode_frame(key or b"", value, ts, "PUT")
+            if out:
+                yield batch(out)
+        if began:
+            yield batch([whole()])
+
+    return rows.mapInArrow(run, "key long, frames long")
 
 
 @query("SELECT event_id, sha256(event_type) AS sha, upper(to_hex(event_type::BLOB)) AS hexed, strlen(event_type) AS bytes FROM events")
