@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.plans.shared import materialize, new_path
 
-__all__ = ["hash_words", "materialize", "mix64", "new_path", "pieces_by_bytes", "prefix_sums", "text_or_empty", "word_codes", "words_of"]
+__all__ = ["hash_words", "materialize", "mix64", "new_path", "pieces_by_bytes", "prefix_sums", "slices_by_bytes", "text_or_empty", "word_codes", "words_of"]
 
 #: Bytes that end a word: everything in ASCII but letters and digits; upper case becomes lower case.
 _WORD_TABLE = bytes(
@@ -38,6 +38,22 @@ def pieces_by_bytes(texts: list, most: int = 4_000_000):
         yield start, len(texts)
 
 
+def slices_by_bytes(batch, column: int, most: int):
+    """Slices of an Arrow batch with about `most` bytes of a text column together (a longer text stands alone)."""
+    import pyarrow.compute as pc
+
+    sizes = pc.binary_length(batch.column(column)).to_pylist()
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        n = n or 0
+        if total and total + n > most:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def word_codes(texts: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words of all texts as codes into a list of distinct words, and how many each text has."""
     seen: dict[bytes, int] = {}

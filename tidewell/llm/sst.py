@@ -34,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import new_path, pieces_by_bytes, prefix_sums, text_or_empty
+from ._common import new_path, prefix_sums, slices_by_bytes, text_or_empty
 
 MAGIC = b"TWSST001"
 _FOOTER = struct.Struct("<QIQIQQQ8s")  # index offset, length, filter offset, length, entries, tokens, shard
 BLOCK_BYTES = 64 * 1024
 #: Entries of a worker's cache, about 150 bytes each.
 CACHE_PIECES = 400_000
+#: Bytes of text that are Python strings at a time.
+TEXT_BYTES = 2_000_000
 
 
 class _Pieces(dict):
@@ -312,6 +314,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     def encode(batches):
         from pyspark import TaskContext
 
+        pa.default_memory_pool().release_unused()  # what earlier tasks of the worker freed
         writer, encoder = ShardWriter(TaskContext.get().partitionId()), encoder_of(tokenizer)
         now, held, tail = None, [], struct.pack("<I", end_id)
 
@@ -323,10 +326,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
             return pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["value"])
 
         for batch in batches:
-            texts, all_ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for lo, hi in pieces_by_bytes(texts, 4_000_000):
+            for some in slices_by_bytes(batch, 1, TEXT_BYTES):
                 ready = []
-                for doc_id, code in zip(all_ids[lo:hi], encoder.encode_all(texts[lo:hi])):
+                for doc_id, code in zip(some.column(0).to_pylist(), encoder.encode_all(some.column(1).to_pylist())):
                     if held and doc_id != now:
                         ready.extend(put(now, held))
                         held = []
