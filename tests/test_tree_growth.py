@@ -72,7 +72,7 @@ def test_stack_of_a_path_is_small():
     assert peak < 6e6
 
 
-@pytest.mark.parametrize("name", ["shape"])
+@pytest.mark.parametrize("name", ["shape", "preorder"])
 @pytest.mark.parametrize("kind", ["bst", "bst_all"])
 def test_events_are_dealt_once(spark, kind, name):
     """Before: joins of all pairs of a tree's events, dealt out again."""
